@@ -43,4 +43,4 @@ def load_all() -> None:
         importlib.import_module(f"checks.{module}")
 
 
-MODULES = ["lines", "gate", "matching", "temporal", "text"]
+MODULES = ["lines", "gate", "matching", "temporal", "text", "tickets", "retrieval", "scoring"]
