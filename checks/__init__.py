@@ -43,4 +43,5 @@ def load_all() -> None:
         importlib.import_module(f"checks.{module}")
 
 
-MODULES = ["lines", "gate", "matching", "temporal", "text", "tickets", "retrieval", "scoring"]
+MODULES = ["lines", "gate", "matching", "temporal", "text", "tickets", "retrieval", "scoring", "chunks", "crash",
+           "telemetry", "records"]

@@ -60,12 +60,22 @@ def carry_last(df: DataFrame, keys, order, values: dict[str, Column], block: Col
 def running_sum(df: DataFrame, keys, order, value: Column, out: str, block: Column) -> DataFrame:
     """Add the inclusive running sum of a value per key."""
     order = _as_list(order)
-    rows = df.withColumns({BLOCK: block, "_v": value})
-    sums = rows.groupBy(*keys, BLOCK).agg(F.sum("_v").alias("_s"))
-    sums = sums.select(*keys, BLOCK, F.coalesce(F.sum("_s").over(_before(keys)), F.lit(0)).alias("_c"))
-    rows = rows.withColumn(out, F.sum("_v").over(
+    rows = df.withColumns({BLOCK: block, "_seg_v": value})
+    sums = rows.groupBy(*keys, BLOCK).agg(F.sum("_seg_v").alias("_seg_s"))
+    sums = sums.select(*keys, BLOCK, F.coalesce(F.sum("_seg_s").over(_before(keys)), F.lit(0)).alias("_seg_c"))
+    rows = rows.withColumn(out, F.sum("_seg_v").over(
         _inside(keys, order).rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.join(sums, [*keys, BLOCK]).withColumn(out, F.col(out) + F.col("_c")).drop(BLOCK, "_v", "_c")
+    return rows.join(sums, [*keys, BLOCK]).withColumn(out, F.col(out) + F.col("_seg_c")).drop(BLOCK, "_seg_v", "_seg_c")
+
+
+def running_max(df: DataFrame, keys, order, value: Column, out: str, block: Column) -> DataFrame:
+    """Add the largest value of the rows before each row of its key (null on the first)."""
+    order = _as_list(order)
+    rows = df.withColumns({BLOCK: block, "_seg_v": value})
+    tops = rows.groupBy(*keys, BLOCK).agg(F.max("_seg_v").alias("_seg_m"))
+    tops = tops.select(*keys, BLOCK, F.max("_seg_m").over(_before(keys)).alias("_seg_c"))
+    rows = rows.withColumn("_seg_i", F.max("_seg_v").over(_inside(keys, order).rowsBetween(Window.unboundedPreceding, -1)))
+    return rows.join(tops, [*keys, BLOCK]).withColumn(out, F.greatest("_seg_i", "_seg_c")).drop(BLOCK, "_seg_v", "_seg_i", "_seg_c")
 
 
 def number_rows(df: DataFrame, keys, order, out: str, block: Column) -> DataFrame:
@@ -79,15 +89,15 @@ def previous(df: DataFrame, keys, order, values: dict[str, Column], block: Colum
     ``has_previous`` tells a missing row from a null value.
     """
     order = _as_list(order)
-    rows = df.withColumns({BLOCK: block, "_p": F.struct(*[v.alias(n) for n, v in values.items()])})
-    tails = rows.groupBy(*keys, BLOCK).agg(F.max_by("_p", F.struct(*order)).alias("_t"))
+    rows = df.withColumns({BLOCK: block, "_seg_p": F.struct(*[v.alias(n) for n, v in values.items()])})
+    tails = rows.groupBy(*keys, BLOCK).agg(F.max_by("_seg_p", F.struct(*order)).alias("_seg_t"))
     step = Window.partitionBy(*keys).orderBy(BLOCK)
-    tails = tails.select(*keys, BLOCK, F.lag("_t").over(step).alias("_c"))
-    rows = rows.withColumn("_l", F.lag("_p").over(_inside(keys, order)))
-    rows = rows.join(tails, [*keys, BLOCK]).withColumn("_l", F.coalesce("_l", "_c"))
+    tails = tails.select(*keys, BLOCK, F.lag("_seg_t").over(step).alias("_seg_c"))
+    rows = rows.withColumn("_seg_l", F.lag("_seg_p").over(_inside(keys, order)))
+    rows = rows.join(tails, [*keys, BLOCK]).withColumn("_seg_l", F.coalesce("_seg_l", "_seg_c"))
     rows = rows.withColumns({
-        "has_previous": F.col("_l").isNotNull(), **{n: F.col("_l")[n] for n in values}})
-    return rows.drop(BLOCK, "_p", "_l", "_c")
+        "has_previous": F.col("_seg_l").isNotNull(), **{n: F.col("_seg_l")[n] for n in values}})
+    return rows.drop(BLOCK, "_seg_p", "_seg_l", "_seg_c")
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys, spread: Column, how: str = "inner",

@@ -121,7 +121,7 @@ def _with_users(alerts: DataFrame, events: DataFrame) -> DataFrame:
     """Distinct users of the alert's dimension value within its hour, by an hour-bucket join."""
     end = F.unix_micros("merged_at") + F.col("hours_after_merge") * HOUR
     spans = alerts.select("change_id", "dimension", "value", end.alias("end"), F.explode(F.array(
-        F.floor(end / HOUR) - 1, F.floor(end / HOUR))).cast("bigint").alias("hour"))
+        F.floor(end / HOUR).cast("bigint") - 1, F.floor(end / HOUR).cast("bigint"))).alias("hour"))
     cells = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in ("app", "error_category")])
     seen = events.select(F.unix_micros("ts").alias("us"), "user_id", F.explode(cells).alias("d")).select(
         "us", "user_id", "d.*", F.floor(F.col("us") / HOUR).cast("bigint").alias("hour"))
