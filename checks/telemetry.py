@@ -59,11 +59,11 @@ def k4(spark, sf):
 _CHANGES = f"""SELECT o_orderkey AS change_id, concat('SMART-', cast(o_custkey AS {{s}})) AS ticket_id, {{at}} AS merged_at,
   {_pick('error_category', 'o_orderkey')} AS error_category, CASE WHEN o_custkey % 3 = 0 THEN {_pick('app', 'o_custkey')} END AS app,
   CASE WHEN o_custkey % 4 = 0 THEN {_pick('chipset', 'o_custkey')} END AS chipset FROM {{o}}"""
-CHANGES_SQL = "cg AS (" + _CHANGES.format(s="varchar", o="orders", at="make_timestamp(epoch_us(TIMESTAMP '2024-01-08') + (o_orderkey * 977 % 1500000) * 1000003)") + ")"
+CHANGES_SQL = "cg AS (" + _CHANGES.format(s="varchar", o="orders", at="make_timestamp(epoch_us(TIMESTAMP '2024-01-08') + (o_orderkey * 977 % 1900000) * 1000003)") + ")"
 
 
 def changes(spark, sf):
-    return spark.sql(_CHANGES.format(s="string", o="{o}", at="timestamp_micros(unix_micros(timestamp '2024-01-08 00:00:00 UTC') + (o_orderkey * 977 % 1500000) * 1000003)"),
+    return spark.sql(_CHANGES.format(s="string", o="{o}", at="timestamp_micros(unix_micros(timestamp '2024-01-08 00:00:00 UTC') + (o_orderkey * 977 % 1900000) * 1000003)"),
                      o=table(spark, sf, "orders"))
 
 
