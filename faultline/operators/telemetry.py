@@ -52,7 +52,7 @@ def proactive_spikes(events: DataFrame, as_of: Column | str, spike_threshold: fl
                      min_errors: int = 100, monitored: dict[str, list[str]] | None = None) -> DataFrame:
     """Alerts for dimension values whose rate of the last hour stands out against seven days."""
     rates = error_rates(by_dimension(events, monitored=monitored), as_of).where("baseline_rate > 0")
-    factor = F.col("current_rate") / F.col("baseline_rate")
+    factor = F.try_divide("current_rate", "baseline_rate")
     out = rates.withColumns({"spike_factor": factor, "error_count": F.floor(F.col("current_rate") * 24).cast("bigint")})
     out = out.where((F.col("spike_factor") >= spike_threshold) & (F.col("affected_users") >= min_users)
                     & (F.col("error_count") >= min_errors))
@@ -105,10 +105,11 @@ def regressions(changes: DataFrame, events: DataFrame, spike_threshold: float =
     per = per.withColumn("baseline_rate", baseline).where("baseline_rate > 0")
     rates = F.transform(F.sequence(F.lit(1), F.lit(watch_hours)), lambda h: F.struct(
         h.alias("hour"), (F.get("seen", h)["seen"] - F.get("seen", h - 1)["seen"]).cast("double").alias("rate")))
-    first = F.get(F.filter(rates, lambda r: r["rate"] / F.col("baseline_rate") >= spike_threshold), F.lit(0))
+    first = F.get(F.filter(rates, lambda r: F.try_divide(r["rate"], F.col("baseline_rate")) >= spike_threshold), F.lit(0))
     alerts = per.withColumn("a", first).where("a IS NOT NULL").select(
         "change_id", "baseline_rate", F.col("a.hour").alias("hours_after_merge"), F.col("a.rate").alias("current_rate"))
-    alerts = changes.join(alerts, "change_id").withColumn("spike_factor", F.col("current_rate") / F.col("baseline_rate"))
+    alerts = changes.join(alerts, "change_id").withColumn(
+        "spike_factor", F.try_divide("current_rate", "baseline_rate"))
     by_app = F.col("app").isNotNull()
     alerts = alerts.withColumns({
         "dimension": F.when(by_app, "app").otherwise("error_category"),

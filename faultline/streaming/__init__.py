@@ -55,7 +55,7 @@ def anomalies(lines: DataFrame, baseline: DataFrame, multiplier: float = 3.0, bu
     rows = rows.withWatermark(ts, watermark).select(*keys, ts, F.explode("tokens").alias("token"))
     counts = rows.groupBy(*keys, "token", F.window(ts, f"{bucket_s} seconds").alias("w")).agg(F.count("*").alias("count"))
     out = counts.join(baseline.select(*keys, "token", "baseline_avg"), [*keys, "token"])
-    factor = F.col("count") / F.col("baseline_avg")
+    factor = F.try_divide("count", "baseline_avg")
     return out.where(factor >= multiplier).select(
         *keys, "token", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "count",
         factor.alias("spike_factor"), severity_of(factor).alias("severity"))
@@ -84,7 +84,7 @@ def spikes(events: DataFrame, baseline: DataFrame, spike_threshold: float = 2.0,
     hourly = rows.groupBy("dimension", "value", F.window("ts", "1 hour", "5 minutes").alias("w")).agg(
         F.count("*").alias("current_rate"), F.approx_count_distinct("user_id", 0.01).alias("affected_users"))
     out = hourly.join(baseline.where("baseline_rate > 0"), ["dimension", "value"])
-    factor = F.col("current_rate") / F.col("baseline_rate")
+    factor = F.try_divide("current_rate", "baseline_rate")
     out = out.where((factor >= spike_threshold) & (F.col("affected_users") >= min_users) & (F.col("current_rate") * 24 >= min_errors))
     return out.select("dimension", "value", F.col("w.end").alias("as_of"), "current_rate", "baseline_rate", factor.alias("spike_factor"),
                       "affected_users", F.when(factor >= 3.0, "high").otherwise("medium").alias("priority"))
