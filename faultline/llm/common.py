@@ -40,3 +40,10 @@ def row_slices(sizes, limit: int):
         held += int(size)
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer file; the package with the files is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
