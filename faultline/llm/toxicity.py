@@ -19,7 +19,7 @@ from faultline.llm.words import LETTERS, Block, blocks, mix, span_hashes
 
 #: Labelled documents of each class that the model is fitted on, at most; they are those of the least hashes of the id.
 SAMPLE_ROWS = 4_000
-BEGINNINGS = (3, 4, 5)
+BEGINNINGS = (4, 5)
 
 
 @dataclass
@@ -40,8 +40,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def _xlog(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
+
+
 def block_features(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature hash) of every word and of the first 3, 4 and 5 bytes of words that are longer by two at least."""
+    """(row, feature hash) of every word and of the first 4 and 5 bytes of words that are longer by two at least."""
     row, words = block.row_of_word(), block.hashes()
     rows, found = [row], [words]
     for n in BEGINNINGS:
@@ -84,8 +88,9 @@ def severity_grades(labels: np.ndarray, markers: np.ndarray) -> np.ndarray:
     return grades
 
 
-def fit_ordinal(rows: list[np.ndarray], labels: np.ndarray, l1: float = 2e-4, steps: int = 400) -> OrdinalModel:
-    """Fit weights and thresholds by accelerated proximal gradient steps; ``l1`` keeps the weights few.
+def fit_ordinal(rows: list[np.ndarray], labels: np.ndarray, l1: float = 2e-3, steps: int = 600) -> OrdinalModel:
+    """Fit weights and thresholds by accelerated proximal gradient steps; ``l1`` keeps the weights few.  Weights are not negative: more text never makes
+    a toxic text clean.
 
     With no text of one class there is nothing to learn: no text is toxic then.
     """
@@ -96,13 +101,16 @@ def fit_ordinal(rows: list[np.ndarray], labels: np.ndarray, l1: float = 2e-4, st
     features, index = np.unique(np.concatenate(rows).astype(np.int64).view(np.uint64), return_inverse=True)
     row = np.repeat(np.arange(len(rows)), counts)
     toxic = labels > 0
-    n1, n0 = toxic.sum(), (~toxic).sum()
+    n1, n0 = int(toxic.sum()), int((~toxic).sum())
     held1 = np.bincount(index[toxic[row]], minlength=len(features))
     held0 = np.bincount(index[~toxic[row]], minlength=len(features))
-    # A feature is a candidate if its log odds differ from none by two standard errors, in three texts at least.
-    odds = np.log((held1 + 0.5) / (n1 - held1 + 0.5)) - np.log((held0 + 0.5) / (n0 - held0 + 0.5))
-    error = np.sqrt(1 / (held1 + 0.5) + 1 / (held0 + 0.5) + 1 / (n1 - held1 + 0.5) + 1 / (n0 - held0 + 0.5))
-    candidate = (np.abs(odds) > 2 * error) & (held0 + held1 >= 3)
+    # A feature is a candidate if toxic texts hold it more often, by a likelihood ratio that chance doesn't reach among so many features.
+    both, n = held1 + held0, n1 + n0
+    expected1 = both * n1 / n
+    ratio = 2 * (_xlog(held1, expected1) + _xlog(held0, both - expected1) + _xlog(n1 - held1, n1 - expected1) + _xlog(n0 - held0, n0 - both + expected1))
+    chance = 2 * np.log(len(features))
+    candidate = (held1 > expected1) & (ratio > chance)
+    penalty = l1 * chance / ratio[candidate]  # strong evidence is hardly shrunk
     marker = candidate & (held0 == 0)
     grades = severity_grades(labels, np.bincount(row, weights=marker[index], minlength=len(rows)))
     levels = np.unique(grades)[1:]
@@ -115,13 +123,12 @@ def fit_ordinal(rows: list[np.ndarray], labels: np.ndarray, l1: float = 2e-4, st
     theta = np.log((1 - targets.mean(0)) / targets.mean(0))
     w, momentum, gap = np.zeros(m), np.zeros(m), 1.0
     share = np.bincount(row, minlength=n).max(initial=1)
-    rate = 4.0 / (len(levels) * max(1, min(share, 400)))
+    pace = n / (2 * len(levels) * max(1, min(share, 400))) / np.maximum(1, np.sqrt(held0[candidate] + held1[candidate]))
     for _ in range(steps):
         score = np.bincount(row, weights=momentum[col], minlength=n)
         wrong = _sigmoid(score[:, None] - theta[None, :]) - targets
         grad = np.bincount(col, weights=wrong.sum(1)[row], minlength=m) / n
-        new = momentum - rate * n / 8 * grad / np.maximum(1, np.sqrt(held0[candidate] + held1[candidate]))
-        new = np.sign(new) * np.maximum(np.abs(new) - rate * n / 8 * l1 / np.maximum(1, np.sqrt(held0[candidate] + held1[candidate])), 0)
+        new = np.maximum(momentum - pace * (grad + penalty), 0)
         theta = np.sort(theta + 4.0 * wrong.mean(0))
         following = (1 + np.sqrt(1 + 4 * gap * gap)) / 2
         momentum, w, gap = new + (gap - 1) / following * (new - w), new, following
@@ -132,13 +139,16 @@ def fit_ordinal(rows: list[np.ndarray], labels: np.ndarray, l1: float = 2e-4, st
 
 
 def _best_cut(expected: np.ndarray, toxic: np.ndarray) -> float:
-    """The expected grade that parts the classes with the fewest errors, in the middle of its gap."""
+    """The expected grade that parts the classes with the fewest errors, in the middle of its gap; a text without features is clean."""
     order = np.argsort(expected, kind="stable")
     value, label = expected[order], toxic[order]
-    errors = np.concatenate([[0], np.cumsum(label)]) + np.concatenate([np.cumsum((~label)[::-1])[::-1], [0]])
-    i = int(np.argmin(errors))
-    low, high = value[i - 1] if i else 0.0, value[i] if i < len(value) else value[-1] * 2
-    return float((low + high) / 2)
+    missed = np.concatenate([[0], np.cumsum(label)])
+    accused = np.concatenate([np.cumsum((~label)[::-1])[::-1], [0]])
+    gaps = np.flatnonzero(value[1:] > value[:-1] + 1e-9) + 1
+    if not len(gaps):
+        return float(value[-1] + 1)
+    i = int(gaps[np.argmin((missed + accused)[gaps])])
+    return float((value[i - 1] + value[i]) / 2)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS) -> OrdinalModel:
