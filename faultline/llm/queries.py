@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import decontaminate, exact_dedup, packing, sharding, token_counts, toxicity, url_rules
+from faultline.llm import decontaminate, exact_dedup, ngram_jaccard, packing, sharding, token_counts, toxicity, url_rules
 from faultline.llm.common import lower_ascii, tokenizer_path
 from faultline.session import configure
 
@@ -102,3 +102,9 @@ def op6(spark, sf_dir):
 @query("op9_token_counts")
 def op9(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query("op10_ngram_jaccard")
+def op10(spark, sf_dir):
+    out = ngram_jaccard.near_components(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_shingles", "component_id")
