@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import decontaminate, exact_dedup, ngram_jaccard, packing, sharding, token_counts, toxicity, url_rules
-from faultline.llm.common import lower_ascii, tokenizer_path
+from faultline.llm import decontaminate, exact_dedup, ngram_jaccard, ngram_lm, packing, sharding, token_counts, toxicity, url_rules, warc
+from faultline.llm.common import lower_ascii, shared_folder, tokenizer_path
 from faultline.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,20 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     out = ngram_jaccard.near_components(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_shingles", "component_id")
+
+
+@query("op5_seekable_warc", sql="""
+    WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+    k AS (SELECT payload_digest, max(page_id) AS keep FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> keep THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 1000 AND page_id <> keep THEN keep END AS refers_to FROM p LEFT JOIN k USING (payload_digest)""")
+def op5(spark, sf_dir):
+    folder = shared_folder(spark, "warc")
+    warc.write_bundles(warc.records(table(spark, sf_dir, "pages")), folder)
+    out = warc.read_bundles(spark, folder)
+    return out.select(F.col("record_id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
+
+
+@query("op3_backoff_lm")
+def op3(spark, sf_dir):
+    return ngram_lm.score_documents(table(spark, sf_dir, "documents"))
