@@ -7,6 +7,7 @@ sample of labelled documents; the fit is sparse, and only features with a weight
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.llm.common import written
 from faultline.llm.words import LETTERS, Block, blocks, mix, span_hashes
 
 #: Labelled documents of each class that the model is fitted on, at most; they are those of the least hashes of the id.
@@ -40,10 +42,6 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _xlog(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
-    return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
-
-
 def block_features(block: Block) -> tuple[np.ndarray, np.ndarray]:
     """(row, feature hash) of every word and of the first 4 and 5 bytes of words that are longer by two at least."""
     row, words = block.row_of_word(), block.hashes()
@@ -56,7 +54,7 @@ def block_features(block: Block) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample_features(texts: DataFrame, text_col: str, label_col: str) -> DataFrame:
-    """Per text its label and its distinct features."""
+    """Per text its label, its distinct features, and a number of its own."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,7 +64,8 @@ def sample_features(texts: DataFrame, text_col: str, label_col: str) -> DataFram
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs.f0, np.arange(block.rows + 1)).astype(np.int32)), pa.array(np.ascontiguousarray(pairs.f1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(block.first, block.rows), lists], ["label", "features"])
 
-    return texts.select(F.col(text_col).cast("string"), F.col(label_col).cast("int")).mapInArrow(scan, "label int, features array<bigint>")
+    found = texts.select(F.col(text_col).cast("string"), F.col(label_col).cast("int")).mapInArrow(scan, "label int, features array<bigint>")
+    return found.withColumn("row", F.monotonically_increasing_id())
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame:
@@ -88,52 +87,58 @@ def severity_grades(labels: np.ndarray, markers: np.ndarray) -> np.ndarray:
     return grades
 
 
-def fit_ordinal(rows: list[np.ndarray], labels: np.ndarray, l1: float = 2e-3, steps: int = 600) -> OrdinalModel:
-    """Fit weights and thresholds by accelerated proximal gradient steps; ``l1`` keeps the weights few.  Weights are not negative: more text never makes
-    a toxic text clean.
+def candidate_features(sample: DataFrame) -> DataFrame:
+    """``feature``, ``held1``, ``held0`` and ``strength`` of the features that toxic texts hold more often than by chance.
 
-    With no text of one class there is nothing to learn: no text is toxic then.
+    ``strength`` is the likelihood ratio against independence over what chance reaches among so many features; candidates have more than 1.
+    """
+    totals = sample.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("n1"), F.count("*").alias("n")).first()
+    n1, n = float(totals["n1"]), float(totals["n"])
+    if n1 in (0, n):
+        return sample.select(F.lit(0).cast("bigint").alias("feature"), *[F.lit(0.0).alias(c) for c in ("held1", "held0", "strength")]).where("false")
+    counts = written(sample.select("label", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("label").cast("double").alias("held1"), F.count("*").cast("double").alias("both")), "toxic-features")
+    chance = 2 * math.log(max(2, counts.count()))
+
+    def part(seen, expected):
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+
+    held1, both, expected = F.col("held1"), F.col("both"), F.col("both") * n1 / n
+    ratio = 2 * (part(held1, expected) + part(both - held1, both - expected) + part(n1 - held1, n1 - expected) + part(n - n1 - both + held1, n - n1 - both + expected))
+    found = counts.withColumn("strength", ratio / chance).where((held1 > expected) & (F.col("strength") > 1))
+    return found.select("feature", "held1", (both - held1).alias("held0"), "strength")
+
+
+def fit_ordinal(rows: list, labels: np.ndarray, features: np.ndarray, held: np.ndarray, strength: np.ndarray, clean: np.ndarray, l1: float = 2e-3, steps: int = 600) -> OrdinalModel:
+    """Fit weights and thresholds by accelerated proximal gradient steps.
+
+    ``rows`` are the candidate ``features`` (ascending hashes) of each text; ``held`` is how many texts hold each, ``clean`` how many of them are
+    clean.  ``l1`` over a feature's ``strength`` keeps the weights few, yet hardly shrinks strong evidence.  Weights are not negative: more text
+    never makes a toxic text clean.  With no text of one class there is nothing to learn: no text is toxic then.
     """
     labels = np.asarray(labels)
-    if not len(labels) or labels.min() == labels.max():
+    if not len(labels) or labels.min() == labels.max() or not len(features):
         return OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.array([40.0]), 0.5)
     counts = np.array([len(r) for r in rows])
-    features, index = np.unique(np.concatenate(rows).astype(np.int64).view(np.uint64), return_inverse=True)
     row = np.repeat(np.arange(len(rows)), counts)
+    col = np.searchsorted(features, np.concatenate([np.asarray(r, np.int64) for r in rows]).view(np.uint64))
     toxic = labels > 0
-    n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    held1 = np.bincount(index[toxic[row]], minlength=len(features))
-    held0 = np.bincount(index[~toxic[row]], minlength=len(features))
-    # A feature is a candidate if toxic texts hold it more often, by a likelihood ratio that chance doesn't reach among so many features.
-    both, n = held1 + held0, n1 + n0
-    expected1 = both * n1 / n
-    ratio = 2 * (_xlog(held1, expected1) + _xlog(held0, both - expected1) + _xlog(n1 - held1, n1 - expected1) + _xlog(n0 - held0, n0 - both + expected1))
-    chance = 2 * np.log(len(features))
-    candidate = (held1 > expected1) & (ratio > chance)
-    penalty = l1 * chance / ratio[candidate]  # strong evidence is hardly shrunk
-    marker = candidate & (held0 == 0)
-    grades = severity_grades(labels, np.bincount(row, weights=marker[index], minlength=len(rows)))
+    n, m = len(rows), len(features)
+    grades = severity_grades(labels, np.bincount(row, weights=(clean == 0)[col], minlength=n))
     levels = np.unique(grades)[1:]
-    place = np.full(len(features), -1)
-    place[candidate] = np.arange(candidate.sum())
-    used = place[index] >= 0
-    col, row = place[index][used], row[used]
-    n, m = len(rows), int(candidate.sum())
     targets = np.stack([grades >= g for g in levels], 1).astype(float)
     theta = np.log((1 - targets.mean(0)) / targets.mean(0))
     w, momentum, gap = np.zeros(m), np.zeros(m), 1.0
-    share = np.bincount(row, minlength=n).max(initial=1)
-    pace = n / (2 * len(levels) * max(1, min(share, 400))) / np.maximum(1, np.sqrt(held0[candidate] + held1[candidate]))
+    pace = n / (2 * len(levels) * max(1, counts.max())) / np.maximum(1, np.sqrt(held))
     for _ in range(steps):
         score = np.bincount(row, weights=momentum[col], minlength=n)
         wrong = _sigmoid(score[:, None] - theta[None, :]) - targets
         grad = np.bincount(col, weights=wrong.sum(1)[row], minlength=m) / n
-        new = np.maximum(momentum - pace * (grad + penalty), 0)
+        new = np.maximum(momentum - pace * (grad + l1 / strength), 0)
         theta = np.sort(theta + 4.0 * wrong.mean(0))
         following = (1 + np.sqrt(1 + 4 * gap * gap)) / 2
         momentum, w, gap = new + (gap - 1) / following * (new - w), new, following
     kept = w != 0
-    model = OrdinalModel(features[candidate][kept], w[kept], theta, 0.5)
+    model = OrdinalModel(features[kept], w[kept], theta, 0.5)
     model.cut = _best_cut(model.expected(np.bincount(row, weights=w[col], minlength=n)), toxic)
     return model
 
@@ -152,10 +157,39 @@ def _best_cut(expected: np.ndarray, toxic: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS) -> OrdinalModel:
-    """Fit the model on a sample of at most ``2 * rows`` labelled documents; only their features reach the driver."""
-    sample = sample_features(labelled_sample(docs, labels, id_col, text_col, label_col, rows), "_text", "_label").collect()
-    sample.sort(key=lambda r: (r["label"], r["features"]))
-    return fit_ordinal([np.array(r["features"], np.int64) for r in sample], np.array([r["label"] for r in sample], np.int64))
+    """Fit the model on a sample of at most ``2 * rows`` labelled documents; the driver gets their candidate features only."""
+    sample = written(sample_features(labelled_sample(docs, labels, id_col, text_col, label_col, rows), "_text", "_label"), "toxic-sample")
+    candidates = written(candidate_features(sample), "toxic-candidates")
+    found = sorted(((r["feature"] % (1 << 64), r["held1"], r["held0"], r["strength"]) for r in candidates.collect()))
+    # A text without candidates is the row of its label without features.
+    held = sample.select("label", "row", F.explode("features").alias("feature")).join(F.broadcast(candidates.select("feature")), "feature").groupBy("label", "row").agg(F.collect_list("feature").alias("held"))
+    texts = sample.select("label", "row").join(held.select("row", "held"), "row", "left").select("label", F.coalesce("held", F.array().cast("array<bigint>")).alias("held")).collect()
+    texts = sorted((r["label"], sorted(r["held"])) for r in texts)
+    values = [np.array(x, np.float64) for x in zip(*[f[1:] for f in found])] or [np.zeros(0)] * 3
+    return fit_ordinal([t[1] for t in texts], np.array([t[0] for t in texts], np.int64), np.array([f[0] for f in found], np.uint64), values[0] + values[1], values[2], values[1])
+
+
+def _toxic_rows(model: OrdinalModel):
+    """A function that yields (block, severity, toxic) for a column of texts."""
+    low = np.zeros(1 << 16, bool)
+    low[(model.features & np.uint64(0xFFFF)).astype(np.int64)] = True
+    n = max(1, len(model.features))
+
+    def judge(texts: pa.Array) -> Iterator[tuple[Block, np.ndarray, np.ndarray]]:
+        for block in blocks(texts, LETTERS):
+            score = np.zeros(block.rows)
+            if len(model.features):
+                rows, found = block_features(block)
+                maybe = low[(found & np.uint64(0xFFFF)).astype(np.int64)]
+                rows, found = rows[maybe], found[maybe]
+                at = np.minimum(np.searchsorted(model.features, found), n - 1)
+                hit = model.features[at] == found
+                pairs = np.unique(rows[hit] * np.int64(n) + at[hit])
+                score = np.bincount(pairs // n, weights=model.weights[pairs % n], minlength=block.rows)
+            severity = model.expected(score)
+            yield block, severity, severity >= model.cut
+
+    return judge
 
 
 def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,24 +197,26 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
 
     A null or empty text has no features and the severity of that.  Rows may repeat, ids may be null; other columns are ignored.
     """
-    low = np.zeros(1 << 16, bool)
-    low[(model.features & np.uint64(0xFFFF)).astype(np.int64)] = True
+    judge = _toxic_rows(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(1), LETTERS):
-                rows, found = block_features(block)
-                maybe = low[(found & np.uint64(0xFFFF)).astype(np.int64)]
-                rows, found = rows[maybe], found[maybe]
-                at = np.minimum(np.searchsorted(model.features, found), max(0, len(model.features) - 1))
-                hit = model.features[at] == found if len(model.features) else np.zeros(0, bool)
-                pairs = np.unique(rows[hit] * np.int64(max(1, len(model.features))) + at[hit])
-                n = max(1, len(model.features))
-                score = np.bincount(pairs // n, weights=model.weights[pairs % n] if len(model.features) else None, minlength=block.rows).astype(float)
-                severity = model.expected(score)
-                columns = [batch.column(0).slice(block.first, block.rows), pa.array(severity), pa.array(np.rint(severity).astype(np.int32)), pa.array(severity >= model.cut)]
+            for block, severity, toxic in judge(batch.column(1)):
+                columns = [batch.column(0).slice(block.first, block.rows), pa.array(severity), pa.array(np.rint(severity).astype(np.int32)), pa.array(toxic)]
                 yield pa.RecordBatch.from_arrays(columns, ["_id", "severity", "grade", "toxic"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(scan, f"_id {id_type}, severity double, grade int, toxic boolean")
     return out.withColumnRenamed("_id", id_col)
+
+
+def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text is not toxic, with all columns, decided row by row."""
+    at = docs.columns.index(text_col)
+    toxic = _toxic_rows(model)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~np.concatenate([np.zeros(0, bool), *(t for _, _, t in toxic(batch.column(at)))])))
+
+    return docs.mapInArrow(scan, docs.schema)
