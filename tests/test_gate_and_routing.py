@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from faultline.functions import lines as L
 from faultline.operators import filters, incidents, matching
-from faultline.rules.patterns import ENRICHED_PATTERNS, ROUTER_PATTERNS
+from faultline.rules.enriched import ENRICHED_PATTERNS
+from faultline.rules.patterns import ROUTER_PATTERNS, Pattern
 
 
 def lines_of(spark, lines, log="a"):
@@ -105,9 +106,7 @@ def test_pattern_tables():
     assert len({p.pattern_id for p in ROUTER_PATTERNS + ENRICHED_PATTERNS}) == 120
 
 
-def test_pattern_table_as_input(spark):
-    table = spark.createDataFrame([("p1", "mine", "boo+m", "high", "LOKI", "C", 0.5, False, 2.0)],
-                                  "pattern_id string, name string, regex string, severity string, layer string, category string, "
-                                  "confidence double, cross_hint boolean, weight double")
-    hits = matching.match_patterns(lines_of(spark, ["BOOOM", "quiet"]), matching.patterns_from(table))
+def test_own_patterns(spark):
+    rows = [Pattern("p1", "mine", "boo+m", "high", "LOKI", "C", 0.5, False, 2.0, fix_hint="look")]
+    hits = matching.match_patterns(lines_of(spark, ["BOOOM", "quiet"]), rows)
     assert [(r.line_no, r.pattern_id, r.weight) for r in hits.collect()] == [(1, "p1", 2.0)]
