@@ -26,24 +26,24 @@ def time_window(df: DataFrame, anchor: Column | str, hours: float = 24, ts: str
     us = F.unix_micros(F.col(ts))
     lo, hi = F.unix_micros(anchor) - span, F.unix_micros(anchor) + span
     block = seg.row_block(order)
-    rows = df.withColumns({"_us": us, "_lo": lo, "_hi": hi, seg.BLOCK: block})
+    rows = seg.placed(df, keys, block).withColumns({"_us": us, "_lo": lo, "_hi": hi})
     # One narrow pass gives, per block, the carried timestamp and the cut-off line.
-    table = rows.groupBy(*keys, seg.BLOCK).agg(
+    table = rows.groupBy(seg.KEYS, seg.BLOCK).agg(
         F.max_by("_us", F.when(F.col("_us").isNotNull(), F.col(order))).alias("_tail"),
         F.min(F.when(F.col("_us") > F.col("_hi"), F.col(order))).alias("_late"))
-    everything = seg.Window.partitionBy(*keys)
+    everything = seg.Window.partitionBy(seg.KEYS)
     table = table.select(
-        *keys, seg.BLOCK,
-        F.last("_tail", ignorenulls=True).over(seg._before(keys)).alias("_carry"),
+        seg.KEYS, seg.BLOCK,
+        F.last("_tail", ignorenulls=True).over(seg.before()).alias("_carry"),
         F.min("_late").over(everything).alias("_cut"))
     rows = rows.withColumn("_in", F.last("_us", ignorenulls=True).over(
-        seg._inside(keys, [order]).rowsBetween(seg.Window.unboundedPreceding, 0)))
-    rows = rows.join(table, [*keys, seg.BLOCK])
+        seg.inside([order]).rowsBetween(seg.Window.unboundedPreceding, 0)))
+    rows = rows.join(table, [seg.KEYS, seg.BLOCK])
     known = F.coalesce("_in", "_carry")
     kept = rows.where((F.col("_cut").isNull() | (F.col(order) < F.col("_cut")))
                       & known.between(F.col("_lo"), F.col("_hi")))
     return kept.withColumn(ts, F.timestamp_micros(known)).drop(
-        "_us", "_lo", "_hi", seg.BLOCK, "_in", "_carry", "_cut")
+        "_us", "_lo", "_hi", seg.KEYS, seg.BLOCK, "_in", "_carry", "_cut")
 
 
 def keeps_level(line: Column | str, min_level: str = "WARNING") -> Column:

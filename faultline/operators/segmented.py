@@ -6,7 +6,7 @@ bring in what earlier blocks contribute from a table with one row per block.
 That table is built by a map-side-combined aggregate and is smaller than the
 input by the block size, so the window over it stays small.
 
-Keys must not be null, and a block must be a non-decreasing function of the order.
+Keys may be null: rows of a null key are one key.  A block must be a non-decreasing function of the order; rows without one come first.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = "_block"
+KEYS = "_keys"
 BLOCK_ROWS = 100_000
 
 
@@ -24,13 +25,22 @@ def row_block(order: str | Column, rows: int = BLOCK_ROWS) -> Column:
     return F.floor(order / F.lit(rows)).cast("bigint")
 
 
-def _inside(keys, order):
-    return Window.partitionBy(*keys, BLOCK).orderBy(*order)
+def _keyed(df: DataFrame, keys) -> DataFrame:
+    """Add the keys as one column that is never null: equal in joins where the keys are equal or both null."""
+    return df.withColumn(KEYS, F.struct(F.lit(0).alias("_"), *keys))
 
 
-def _before(keys):
+def placed(df: DataFrame, keys, block: Column) -> DataFrame:
+    return _keyed(df, keys).withColumn(BLOCK, F.coalesce(block.cast("bigint"), F.lit(-(1 << 62))))
+
+
+def inside(order):
+    return Window.partitionBy(KEYS, BLOCK).orderBy(*order)
+
+
+def before():
     """Earlier blocks of the same key, over the block table."""
-    return Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    return Window.partitionBy(KEYS).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def _as_list(order):
@@ -40,42 +50,42 @@ def _as_list(order):
 def carry_last(df: DataFrame, keys, order, values: dict[str, Column], block: Column) -> DataFrame:
     """Add, per output name, the last non-null value at or before each row of its key."""
     order = _as_list(order)
-    rows = df.withColumns({BLOCK: block, **{f"_v_{n}": v for n, v in values.items()}})
+    rows = placed(df, keys, block).withColumns({f"_v_{n}": v for n, v in values.items()})
     sort_key = F.struct(*order)
-    tails = rows.groupBy(*keys, BLOCK).agg(*[
+    tails = rows.groupBy(KEYS, BLOCK).agg(*[
         F.max_by(F.struct(F.col(f"_v_{n}").alias("v")),
                  F.when(F.col(f"_v_{n}").isNotNull(), sort_key))["v"].alias(f"_t_{n}")
         for n in values])
-    tails = tails.select(*keys, BLOCK, *[
-        F.last(f"_t_{n}", ignorenulls=True).over(_before(keys)).alias(f"_c_{n}") for n in values])
+    tails = tails.select(KEYS, BLOCK, *[
+        F.last(f"_t_{n}", ignorenulls=True).over(before()).alias(f"_c_{n}") for n in values])
     out = rows.withColumns({
         f"_i_{n}": F.last(f"_v_{n}", ignorenulls=True).over(
-            _inside(keys, order).rowsBetween(Window.unboundedPreceding, 0)) for n in values})
-    out = out.join(tails, [*keys, BLOCK])
+            inside(order).rowsBetween(Window.unboundedPreceding, 0)) for n in values})
+    out = out.join(tails, [KEYS, BLOCK])
     out = out.withColumns({n: F.coalesce(f"_i_{n}", f"_c_{n}") for n in values})
     scratch = [f"_{p}_{n}" for n in values for p in "vic"]
-    return out.drop(BLOCK, *scratch)
+    return out.drop(KEYS, BLOCK, *scratch)
 
 
 def running_sum(df: DataFrame, keys, order, value: Column, out: str, block: Column) -> DataFrame:
     """Add the inclusive running sum of a value per key."""
     order = _as_list(order)
-    rows = df.withColumns({BLOCK: block, "_seg_v": value})
-    sums = rows.groupBy(*keys, BLOCK).agg(F.sum("_seg_v").alias("_seg_s"))
-    sums = sums.select(*keys, BLOCK, F.coalesce(F.sum("_seg_s").over(_before(keys)), F.lit(0)).alias("_seg_c"))
+    rows = placed(df, keys, block).withColumn("_seg_v", value)
+    sums = rows.groupBy(KEYS, BLOCK).agg(F.sum("_seg_v").alias("_seg_s"))
+    sums = sums.select(KEYS, BLOCK, F.coalesce(F.sum("_seg_s").over(before()), F.lit(0)).alias("_seg_c"))
     rows = rows.withColumn(out, F.sum("_seg_v").over(
-        _inside(keys, order).rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.join(sums, [*keys, BLOCK]).withColumn(out, F.col(out) + F.col("_seg_c")).drop(BLOCK, "_seg_v", "_seg_c")
+        inside(order).rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.join(sums, [KEYS, BLOCK]).withColumn(out, F.col(out) + F.col("_seg_c")).drop(KEYS, BLOCK, "_seg_v", "_seg_c")
 
 
 def running_max(df: DataFrame, keys, order, value: Column, out: str, block: Column) -> DataFrame:
     """Add the largest value of the rows before each row of its key (null on the first)."""
     order = _as_list(order)
-    rows = df.withColumns({BLOCK: block, "_seg_v": value})
-    tops = rows.groupBy(*keys, BLOCK).agg(F.max("_seg_v").alias("_seg_m"))
-    tops = tops.select(*keys, BLOCK, F.max("_seg_m").over(_before(keys)).alias("_seg_c"))
-    rows = rows.withColumn("_seg_i", F.max("_seg_v").over(_inside(keys, order).rowsBetween(Window.unboundedPreceding, -1)))
-    return rows.join(tops, [*keys, BLOCK]).withColumn(out, F.greatest("_seg_i", "_seg_c")).drop(BLOCK, "_seg_v", "_seg_i", "_seg_c")
+    rows = placed(df, keys, block).withColumn("_seg_v", value)
+    tops = rows.groupBy(KEYS, BLOCK).agg(F.max("_seg_v").alias("_seg_m"))
+    tops = tops.select(KEYS, BLOCK, F.max("_seg_m").over(before()).alias("_seg_c"))
+    rows = rows.withColumn("_seg_i", F.max("_seg_v").over(inside(order).rowsBetween(Window.unboundedPreceding, -1)))
+    return rows.join(tops, [KEYS, BLOCK]).withColumn(out, F.greatest("_seg_i", "_seg_c")).drop(KEYS, BLOCK, "_seg_v", "_seg_i", "_seg_c")
 
 
 def number_rows(df: DataFrame, keys, order, out: str, block: Column) -> DataFrame:
@@ -89,27 +99,24 @@ def previous(df: DataFrame, keys, order, values: dict[str, Column], block: Colum
     ``has_previous`` tells a missing row from a null value.
     """
     order = _as_list(order)
-    rows = df.withColumns({BLOCK: block, "_seg_p": F.struct(*[v.alias(n) for n, v in values.items()])})
-    tails = rows.groupBy(*keys, BLOCK).agg(F.max_by("_seg_p", F.struct(*order)).alias("_seg_t"))
-    step = Window.partitionBy(*keys).orderBy(BLOCK)
-    tails = tails.select(*keys, BLOCK, F.lag("_seg_t").over(step).alias("_seg_c"))
-    rows = rows.withColumn("_seg_l", F.lag("_seg_p").over(_inside(keys, order)))
-    rows = rows.join(tails, [*keys, BLOCK]).withColumn("_seg_l", F.coalesce("_seg_l", "_seg_c"))
+    rows = placed(df, keys, block).withColumn("_seg_p", F.struct(*[v.alias(n) for n, v in values.items()]))
+    tails = rows.groupBy(KEYS, BLOCK).agg(F.max_by("_seg_p", F.struct(*order)).alias("_seg_t"))
+    step = Window.partitionBy(KEYS).orderBy(BLOCK)
+    tails = tails.select(KEYS, BLOCK, F.lag("_seg_t").over(step).alias("_seg_c"))
+    rows = rows.withColumn("_seg_l", F.lag("_seg_p").over(inside(order)))
+    rows = rows.join(tails, [KEYS, BLOCK]).withColumn("_seg_l", F.coalesce("_seg_l", "_seg_c"))
     rows = rows.withColumns({
         "has_previous": F.col("_seg_l").isNotNull(), **{n: F.col("_seg_l")[n] for n in values}})
-    return rows.drop(BLOCK, "_seg_p", "_seg_l", "_seg_c")
+    return rows.drop(KEYS, BLOCK, "_seg_p", "_seg_l", "_seg_c")
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys, spread: Column, how: str = "inner",
-                salts: int = 16) -> DataFrame:
-    """Join rows to a one-row-per-key table when one key may hold much of ``big``.
+def keyed_join(big: DataFrame, small: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Join rows to a one-row-per-key table; null keys meet each other.
 
-    ``spread`` scatters the rows of a key over the salts; the small side is repeated
-    once per salt, so no task receives a whole hot key.
+    Both sides are exchanged by the key column, so adaptive execution sees their true sizes: it broadcasts a small table and splits a hot key.
     """
-    left = big.withColumn("_salt", F.pmod(F.hash(spread), F.lit(salts)))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    right = _keyed(small, keys).drop(*keys)
+    return _keyed(big, keys).join(right, KEYS, how).drop(KEYS)
 
 
 def top_n(df: DataFrame, keys, order, n: int, rank: str = "rank") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.text import as_col
@@ -119,21 +119,28 @@ def regressions(changes: DataFrame, events: DataFrame, spike_threshold: float =
 
 
 def _with_users(alerts: DataFrame, events: DataFrame) -> DataFrame:
-    """Distinct users of the alert's dimension value within its hour, by an hour-bucket join."""
-    end = F.unix_micros("merged_at") + F.col("hours_after_merge") * HOUR
-    spans = alerts.select("change_id", "dimension", "value", end.alias("end"), F.explode(F.array(
-        F.floor(end / HOUR).cast("bigint") - 1, F.floor(end / HOUR).cast("bigint"))).alias("hour"))
+    """Distinct users of the alert's dimension value within its hour, without listing them.
+
+    An hour that starts at s holds a user once for the user's first event in it: the event at t counts where s lies after both t - 1 h and
+    the user's event before, and not after t.  So every event adds one from there on and takes it back after t, and a running sum over these
+    points, read where the alerts' hours start, counts the users.
+    """
+    start = F.unix_micros("merged_at") + (F.col("hours_after_merge") - 1) * HOUR
+    asked = alerts.select("change_id", "dimension", "value", start.cast("bigint").alias("us"))
     cells = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in ("app", "error_category")])
-    seen = events.select(F.unix_micros("ts").alias("us"), "user_id", F.explode(cells).alias("d")).select(
-        "us", "user_id", "d.*", F.floor(F.col("us") / HOUR).cast("bigint").alias("hour"))
-    seen = seen.groupBy("dimension", "value", "hour", "user_id").agg(
-        F.min("us").alias("first"), F.max("us").alias("last"))
-    # The earlier bucket counts from the span's start on, the later one up to its end.
-    early = F.col("hour") < F.floor(F.col("end") / HOUR)
-    hits = spans.join(seen, ["dimension", "value", "hour"]).where(
-        F.when(early, F.col("last") >= F.col("end") - HOUR).otherwise(F.col("first") < F.col("end")))
-    users = hits.groupBy("change_id").agg(F.count_distinct("user_id").alias("affected_users"))
-    return alerts.join(users, "change_id", "left").withColumn(
+    seen = events.select(F.unix_micros("ts").alias("us"), "user_id", F.explode(cells).alias("d")).select("us", "user_id", "d.*")
+    seen = seen.where(F.col("user_id").isNotNull()).join(asked.select("dimension", "value").distinct(), ["dimension", "value"], "left_semi").distinct()
+    before = F.lag("us").over(Window.partitionBy("dimension", "value", "user_id").orderBy("us"))
+    seen = seen.withColumn("_from", F.greatest(F.col("us") - HOUR, before))
+    steps = seen.select("dimension", "value", F.explode(F.array(
+        F.struct(F.col("_from").alias("us"), F.lit(1).cast("bigint").alias("c")), F.struct(F.col("us"), F.lit(-1).cast("bigint").alias("c")))).alias("e"))
+    steps = steps.select("dimension", "value", "e.us", "e.c").groupBy("dimension", "value", "us").agg(F.sum("c").alias("c")).where("c <> 0")
+    change = alerts.schema["change_id"].dataType
+    points = steps.select("dimension", "value", "us", F.lit(1).alias("kind"), "c", F.lit(None).cast(change).alias("change_id"))
+    marks = asked.select("dimension", "value", "us", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("c"), "change_id")
+    run = seg.running_sum(marks.unionByName(points), ["dimension", "value"], ["us", "kind"], F.col("c"), "affected_users",
+                          F.floor(F.col("us") / HOUR).cast("bigint")).where("kind = 0")
+    return alerts.join(run.select("change_id", "affected_users"), "change_id", "left").withColumn(
         "affected_users", F.coalesce("affected_users", F.lit(0).cast("bigint")))
 
 

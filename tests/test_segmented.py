@@ -12,7 +12,7 @@ def _rows(spark, n=400):
     rng = random.Random(1)
     data = []
     for i in range(n):
-        key = "hot" if i % 3 else f"k{i % 7}"
+        key = "hot" if i % 3 else None if i % 5 == 0 else f"k{i % 7}"
         data.append((key, i, rng.choice([None, rng.randint(0, 99)])))
     return spark.createDataFrame(data, "k string, i long, v long")
 
@@ -35,9 +35,10 @@ def test_blocked_scans_equal_plain_windows(spark):
     assert sorted(map(repr, got.select(columns).collect())) == sorted(map(repr, want.select(columns).collect()))
 
 
-def test_salted_join_is_a_join(spark):
+def test_keyed_join_is_a_null_safe_join(spark):
     df = _rows(spark)
     small = df.groupBy("k").agg(F.max("i").alias("m"))
-    got = seg.salted_join(df, small, ["k"], F.col("i"), salts=3).select("k", "i", "v", "m")
-    want = df.join(small, "k").select("k", "i", "v", "m")
+    got = seg.keyed_join(df, small, ["k"]).select("k", "i", "v", "m")
+    want = df.join(small.withColumnRenamed("k", "_k"), F.col("k").eqNullSafe(F.col("_k"))).select("k", "i", "v", "m")
+    assert got.count() == df.count()
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))

@@ -131,7 +131,7 @@ def test_dense_search_in_parts_and_with_match(spark):
     recs = spark.createDataFrame([(i, [float(i % 5), 1.0, float(i % 3)], "x" if i % 2 else "y") for i in range(60)], "id int, vector array<double>, cat string")
     asks = spark.createDataFrame([(q, [float(q), 1.0, 0.5], "x" if q % 2 else None) for q in range(7)], "query_id int, vector array<double>, cat string")
     whole = retrieval.dense_search(asks, recs, 4, match=["cat"]).collect()
-    parts = retrieval.dense_search(asks, recs, 4, match=["cat"], max_query_floats=6).collect()
+    parts = retrieval.dense_search(asks, recs, 4, match=["cat"], block_floats=6).collect()
     assert sorted(map(repr, whole)) == sorted(map(repr, parts)) and len(whole) == 28
     cats = {r.id: r.cat for r in recs.collect()}
     assert all(cats[r.id] == "x" for r in whole if r.query_id % 2)
