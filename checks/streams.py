@@ -96,8 +96,7 @@ def l5(spark, sf):
     return _run(spark, streaming.novel_templates(_lines(spark, sf))).select("log_id", "template")
 
 
-@check("l6_stream_regressions", f"""WITH {EVENTS_SQL}, cg0 AS ({CHANGES_SQL[len('cg AS ('):-1]}), now AS (SELECT max(ts) AS t FROM er),
-  cg AS (SELECT * FROM cg0 WHERE merged_at <= (SELECT t FROM now) AND merged_at > (SELECT t FROM now) - INTERVAL 96 HOUR), {REGRESSION_SQL}
+@check("l6_stream_regressions", f"""WITH {EVENTS_SQL}, {CHANGES_SQL}, now AS (SELECT max(ts) AS t FROM er), {REGRESSION_SQL}
   SELECT change_id, hours_after_merge, round(spike_factor, 6) AS spike_factor, affected_users FROM alerts
   WHERE merged_at + to_hours(hours_after_merge) <= (SELECT t FROM now)""")
 def l6(spark, sf):
