@@ -29,37 +29,32 @@ def code_chunks(spark, sf):
 KEYS = "repo, file_path, start_line, end_line"
 
 
-def _unique(df):
-    """Drop rows that agree in range, confidence and position, so that order is total."""
-    return df.groupBy("repo", "file_path", "start_line", "end_line", "confidence", "position").agg(
-        F.min(F.struct("chunk_id", "content", "source")).alias("x")).select("*", "x.*").drop("x")
+# Many chunks agree in range, confidence and position; the rest of the row decides then.
+ORDER = ["position", "chunk_id", "content", "source"]
+_ORDER = "'p': position, 'i': chunk_id, 't': content, 's': source"
 
 
-UNIQ_SQL = f"""un AS (SELECT {KEYS}, confidence, position, min({{'i': chunk_id, 't': content, 's': source}}) AS x FROM ch GROUP BY ALL),
-uq AS (SELECT {KEYS}, confidence, position, x.i AS chunk_id, x.t AS content, x.s AS source FROM un)"""
-
-
-@check("h5_dedup_chunks", f"""WITH {CHUNKS_SQL}, {UNIQ_SQL} SELECT {KEYS}, max(confidence) AS confidence,
-  arg_min(content, {{'c': -confidence, 'p': position}}) AS content, arg_min(position, {{'c': -confidence, 'p': position}}) AS position FROM uq GROUP BY ALL""")
+@check("h5_dedup_chunks", f"""WITH {CHUNKS_SQL} SELECT {KEYS}, max(confidence) AS confidence,
+  arg_min(content, {{'c': -confidence, {_ORDER}}}) AS content, arg_min(position, {{'c': -confidence, {_ORDER}}}) AS position FROM ch GROUP BY ALL""")
 def h5(spark, sf):
-    out = C.dedup_chunks(_unique(code_chunks(spark, sf)))
+    out = C.dedup_chunks(code_chunks(spark, sf), order=ORDER)
     return out.select("repo", "file_path", "start_line", "end_line", "confidence", "content", "position")
 
 
-ISLANDS_SQL = """i1 AS (SELECT *, max(end_line) OVER (PARTITION BY repo, file_path ORDER BY start_line, position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM uq),
-i2 AS (SELECT *, sum(CASE WHEN reach IS NULL OR start_line > reach + 5 THEN 1 ELSE 0 END) OVER (PARTITION BY repo, file_path ORDER BY start_line, position) AS g FROM i1)"""
+ISLANDS_SQL = """i1 AS (SELECT *, max(end_line) OVER (PARTITION BY repo, file_path ORDER BY start_line, position, chunk_id, content, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ch),
+i2 AS (SELECT *, sum(CASE WHEN reach IS NULL OR start_line > reach + 5 THEN 1 ELSE 0 END) OVER (PARTITION BY repo, file_path ORDER BY start_line, position, chunk_id, content, source ROWS UNBOUNDED PRECEDING) AS g FROM i1)"""
 
 
-@check("h6_merge_chunks", f"""WITH {CHUNKS_SQL}, {UNIQ_SQL}, {ISLANDS_SQL} SELECT repo, file_path, min(start_line) AS start_line, max(end_line) AS end_line,
-  arg_min(content, {{'l': -length(content), 's': start_line, 'p': position}}) AS content, string_agg(source, '+' ORDER BY start_line, position) AS source,
+@check("h6_merge_chunks", f"""WITH {CHUNKS_SQL}, {ISLANDS_SQL} SELECT repo, file_path, min(start_line) AS start_line, max(end_line) AS end_line,
+  arg_min(content, {{'l': -length(content), 'f': start_line, {_ORDER}}}) AS content, string_agg(source, '+' ORDER BY start_line, position, chunk_id, content, source) AS source,
   max(confidence) AS confidence FROM i2 GROUP BY repo, file_path, g""")
 def h6(spark, sf):
-    return C.merge_chunks(_unique(code_chunks(spark, sf)), max_size=1_000_000)
+    return C.merge_chunks(code_chunks(spark, sf), max_size=1_000_000, order=ORDER)
 
 
 @check("h6_merge_chunks_capped")
 def h6_capped(spark, sf):
-    return C.merge_chunks(_unique(code_chunks(spark, sf)), max_size=60)
+    return C.merge_chunks(code_chunks(spark, sf), max_size=60, order=ORDER)
 
 
 @check("h7_expand_context", f"""WITH {CHUNKS_SQL}, files AS (SELECT 'repo0' AS repo, 'src/f' || doc_id || '.cpp' AS file_path, string_split(text, chr(10)) AS ls FROM documents)

@@ -222,5 +222,5 @@ def g7(spark, sf):
                           "ghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZABCDEF")
     mappings = F.regexp_replace(letters, "(.{4})(?=.)", "$1,")
     doc = F.to_json(F.struct(F.lit(3).alias("version"), F.array(F.col("url")).alias("sources"), F.array(F.lit("n")).alias("names"), mappings.alias("mappings")))
-    maps = table(spark, sf, "pages").where(F.length("html") > 40).select(F.concat("url", F.lit("#"), F.col("page_id")).alias("url"), doc.alias("json"))
+    maps = table(spark, sf, "pages").select(F.concat("url", F.lit("#"), F.col("page_id")).alias("url"), doc.alias("json"))
     return browser.decode_source_maps(maps)

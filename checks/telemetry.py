@@ -102,11 +102,21 @@ def k6(spark, sf):
 @check("m4_monitor", f"""WITH {EVENTS_SQL}, {CHANGES_SQL}, {RATE_SQL}, {REGRESSION_SQL}
   SELECT 'spike' AS kind, dimension, value, NULL::bigint AS change_id, round(current_rate / baseline_rate, 6) AS spike_factor, affected_users FROM rt
     WHERE current_rate / baseline_rate >= 1 AND affected_users >= 5 AND current_rate * 24 >= 24
-  UNION ALL SELECT 'regression', dimension, value, change_id, round(spike_factor, 6), affected_users FROM alerts""")
+  UNION ALL SELECT 'regression', dimension, value, change_id, round(spike_factor, 6), affected_users FROM alerts
+  UNION ALL SELECT 'correction', 'TELEMETRY', 'T-' || 0, change_id, NULL, NULL FROM cg WHERE change_id % 3 = 0 AND change_id NOT IN (SELECT change_id FROM alerts)
+  UNION ALL SELECT 'correction', 'TELEMETRY', ticket_id, change_id, NULL, NULL FROM alerts""")
 def m4(spark, sf):
     from faultline.plans.monitor import monitor
 
-    alerts, _ = monitor(error_events(spark, sf), changes(spark, sf), as_of(), spike_threshold=1.0, min_users=5, min_errors=24)
-    return rounded(alerts.select("kind", "dimension", "value", "change_id", "spike_factor", "affected_users"), "spike_factor")
+    # Every third change has a record from before; those of regressions are replaced, the others stay.
+    old = {"jira_ticket": "T-0", "error_category": "X", "mistake_type": "OLD", "description": "", "what_went_wrong": "", "severity": "LOW", "detected_by": "TELEMETRY"}
+    stored = changes(spark, sf).where("change_id % 3 = 0").select(
+        F.col("change_id").cast("string").alias("correction_id"), *[F.lit(v).alias(k) for k, v in old.items()], F.lit(0.0).alias("time_to_detect_hours"),
+        F.lit("2020-01-01").cast("timestamp").alias("created_at"))
+    alerts, corrections = monitor(error_events(spark, sf), changes(spark, sf), as_of(), stored, spike_threshold=1.0, min_users=5, min_errors=24)
+    alerts = rounded(alerts.select("kind", "dimension", "value", "change_id", "spike_factor", "affected_users"), "spike_factor")
+    return alerts.unionByName(corrections.select(
+        F.lit("correction").alias("kind"), F.col("detected_by").alias("dimension"), F.col("jira_ticket").alias("value"),
+        F.col("correction_id").cast("bigint").alias("change_id"), F.lit(None).cast("double").alias("spike_factor"), F.lit(None).cast("bigint").alias("affected_users")))
 
 

@@ -142,19 +142,26 @@ def signatures(spark, sf):
     return docs.select(F.col("doc_id").alias("id"), dedup.minhash(dedup.normalized_text("text")).alias("signature"))
 
 
-@check("h1_minhash", f"""WITH {SIG_SQL} SELECT doc_id, md5(string_agg(lpad(lower(to_hex(h)), 16, '0'), ',' ORDER BY i)) AS signature
-  FROM sg GROUP BY doc_id""")
+@check("h1_minhash", f"""WITH {SIG_SQL} SELECT doc_id, md5(string_agg(lpad(lower(to_hex(h)), 16, '0'), ',' ORDER BY i)) AS signature FROM sg GROUP BY doc_id
+  UNION ALL SELECT doc_id, CASE WHEN t = '' THEN md5(repeat('0000000000000000,', 127) || '0000000000000000') END FROM norm WHERE t IS NULL OR t = ''""")
 def h1(spark, sf):
     text = F.array_join(F.transform("signature", lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), ",")
-    docs = signatures(spark, sf).where(F.size("signature") > 0)
+    docs = signatures(spark, sf)
     return docs.select(F.col("id").alias("doc_id"), F.md5(text).alias("signature"))
 
 
-@check("h2_pair_similarity", f"""WITH {SIG_SQL} SELECT a.doc_id AS id_a, b.doc_id AS id_b,
-  round(sum((a.h = b.h)::int) / 128, 6) AS similarity FROM sg a JOIN sg b ON a.doc_id + 1 = b.doc_id AND a.i = b.i GROUP BY ALL""")
+_EDGES = [round(i * 128 / 26) for i in range(27)]
+_BAND = "CASE " + " ".join(f"WHEN i < {e} THEN {n}" for n, e in enumerate(_EDGES[1:])) + " END"
+
+
+@check("h2_pair_similarity", f"""WITH {SIG_SQL}, bd AS (SELECT doc_id, {_BAND} AS band, list(h ORDER BY i) AS hs FROM sg GROUP BY ALL),
+  pr AS (SELECT DISTINCT min(doc_id) OVER (PARTITION BY band, hs) AS id_a, doc_id AS id_b FROM bd QUALIFY id_a <> doc_id) SELECT a.doc_id AS id_a, b.doc_id AS id_b,
+  round(sum((a.h = b.h)::int) / 128, 6) AS similarity FROM pr JOIN sg a ON pr.id_a = a.doc_id JOIN sg b ON pr.id_b = b.doc_id AND a.i = b.i GROUP BY ALL""")
 def h2(spark, sf):
+    # Every text with the first text of each of its bands.
     sigs = signatures(spark, sf)
-    pairs = sigs.select(F.col("id").alias("id_a"), (F.col("id") + 1).alias("id_b"))
+    bands = sigs.select("id", F.explode(dedup.band_keys("signature", 0.8)).alias("band"))
+    pairs = bands.join(bands.groupBy("band").agg(F.min("id").alias("id_a")), "band").where("id_a <> id").select("id_a", F.col("id").alias("id_b")).distinct()
     return rounded(dedup.pair_similarity(pairs, sigs), "similarity")
 
 
@@ -163,12 +170,14 @@ def h3(spark, sf):
     return dedup.dedup_groups(table(spark, sf, "documents"))
 
 
-@check("h4_find_similar", f"""WITH {SIG_SQL.replace('FROM documents', "FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark)")}
+@check("h4_find_similar", f"""WITH {SIG_SQL.replace('FROM documents', "FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark UNION ALL SELECT -1000000 - doc_id, text FROM documents WHERE doc_id % 20 = 0)")}
   SELECT -1 - a.doc_id AS query_id, b.doc_id AS id, round(sum((a.h = b.h)::int) / 128, 6) AS similarity
   FROM sg a JOIN sg b ON a.doc_id < 0 AND b.doc_id >= 0 AND a.i = b.i GROUP BY ALL HAVING sum((a.h = b.h)::int) / 128 >= 0.5""")
 def h4(spark, sf):
-    queries = table(spark, sf, "benchmark").select(
-        F.col("item_id").alias("id"), dedup.minhash(dedup.normalized_text("text")).alias("signature"))
+    # Benchmark items, and every twentieth text against all.
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
+    asked = asked.unionByName(table(spark, sf, "documents").where("doc_id % 20 = 0").select((F.col("doc_id") + 999_999).alias("id"), "text"))
+    queries = asked.select("id", dedup.minhash(dedup.normalized_text("text")).alias("signature"))
     return rounded(dedup.find_similar(signatures(spark, sf), queries, 0.5), "similarity")
 
 

@@ -144,15 +144,18 @@ def b13(spark, sf):
     return v.select("p_partkey", T.firmware_compatible("tv", "need").alias("compatible"), T.api_version("need").alias("api"))
 
 
-SYM_SQL = "list_sort(list_distinct(flatten([" + ", ".join(
-    f"regexp_extract_all(html, {q(p)}, 1)" for p in (formats.SYMBOL_CALL, formats.SYMBOL_CLASS, formats.SYMBOL_FILE)) + ", [url]])))"
+# A word ends where no letter, digit or underscore of any script follows.  The SQL engine's own word boundary knows ASCII only, so every other
+# character is doubled first, and each match takes one on either side.
+_EDGE = r"[^\p{L}\p{Nd}_]"
+_FILES = formats.SYMBOL_FILE.split("(?:")[1].split(")")[0]
+_SYMBOLS = [rf"(?:^|{_EDGE})([a-zA-Z_][a-zA-Z0-9_]*)\s*\(", rf"(?:^|{_EDGE})([A-Z][a-zA-Z0-9]+)(?:$|{_EDGE})", rf"(?:^|{_EDGE})([a-zA-Z_][a-zA-Z0-9_]*\.\.(?i:{_FILES}))(?:$|{_EDGE})"]
+SYM_SQL = "list_sort(list_distinct(list_transform(flatten([" + ", ".join(f"regexp_extract_all(twice, {q(p)}, 1)" for p in _SYMBOLS) + "]), lambda x: replace(x, '..', '.')) || [url]))"
 
 
-@check("b14_code_symbols", f"""WITH p AS (SELECT page_id, url, regexp_replace(html, '[^\\x00-\\x7F]', ' ', 'g') AS html FROM pages)
+@check("b14_code_symbols", f"""WITH p AS (SELECT page_id, url, regexp_replace(html, {q('(' + _EDGE + ')')}, '\\1\\1', 'g') AS twice FROM pages)
   SELECT page_id, md5(array_to_string({SYM_SQL}, ' ')) AS symbols, len({SYM_SQL}) AS n FROM p""")
 def b14(spark, sf):
-    ascii_only = F.regexp_replace("html", r"[^\x00-\x7F]", " ")
-    out = table(spark, sf, "pages").select("page_id", T.code_symbols(ascii_only, F.array("url")).alias("s"))
+    out = table(spark, sf, "pages").select("page_id", T.code_symbols("html", F.array("url")).alias("s"))
     return out.select("page_id", F.md5(F.array_join("s", " ")).alias("symbols"), F.size("s").cast("bigint").alias("n"))
 
 
