@@ -67,15 +67,21 @@ def carry_last(df: DataFrame, keys, order, values: dict[str, Column], block: Col
     return out.drop(KEYS, BLOCK, *scratch)
 
 
+def running_sums(df: DataFrame, keys, order, values: dict[str, Column], block: Column) -> DataFrame:
+    """Add, per output name, the inclusive running sum of a value per key; null values count as nothing."""
+    order = _as_list(order)
+    rows = placed(df, keys, block).withColumns({f"_v_{n}": v for n, v in values.items()})
+    sums = rows.groupBy(KEYS, BLOCK).agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in values])
+    sums = sums.select(KEYS, BLOCK, *[F.coalesce(F.sum(f"_s_{n}").over(before()), F.lit(0)).alias(f"_c_{n}") for n in values])
+    upto = inside(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"_i_{n}": F.coalesce(F.sum(f"_v_{n}").over(upto), F.lit(0)) for n in values})
+    rows = rows.join(sums, [KEYS, BLOCK]).withColumns({n: F.col(f"_i_{n}") + F.col(f"_c_{n}") for n in values})
+    return rows.drop(KEYS, BLOCK, *[f"_{p}_{n}" for n in values for p in "vic"])
+
+
 def running_sum(df: DataFrame, keys, order, value: Column, out: str, block: Column) -> DataFrame:
     """Add the inclusive running sum of a value per key."""
-    order = _as_list(order)
-    rows = placed(df, keys, block).withColumn("_seg_v", value)
-    sums = rows.groupBy(KEYS, BLOCK).agg(F.sum("_seg_v").alias("_seg_s"))
-    sums = sums.select(KEYS, BLOCK, F.coalesce(F.sum("_seg_s").over(before()), F.lit(0)).alias("_seg_c"))
-    rows = rows.withColumn(out, F.sum("_seg_v").over(
-        inside(order).rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.join(sums, [KEYS, BLOCK]).withColumn(out, F.col(out) + F.col("_seg_c")).drop(KEYS, BLOCK, "_seg_v", "_seg_c")
+    return running_sums(df, keys, order, {out: value}, block)
 
 
 def running_max(df: DataFrame, keys, order, value: Column, out: str, block: Column) -> DataFrame:
