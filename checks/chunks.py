@@ -52,7 +52,22 @@ def h6(spark, sf):
     return C.merge_chunks(code_chunks(spark, sf), max_size=1_000_000, order=ORDER)
 
 
-@check("h6_merge_chunks_capped")
+# Chunk by chunk: the one that is open (s, e, c, src, cf) and what the step let go (em).
+_MERGED = "{'s': least(f.s, o.start_line), 'e': greatest(f.e, o.end_line), 'c': CASE WHEN length(f.c) >= length(o.content) THEN f.c ELSE o.content END, 'src': f.src || '+' || o.source, 'cf': greatest(f.cf, o.confidence::double)}"
+_NEAR = "o.start_line <= f.e + 5"
+_LARGE = "greatest(f.e, o.end_line) - least(f.s, o.start_line) + 1 > 60"
+CAPPED_SQL = f"""o AS (SELECT *, row_number() OVER (PARTITION BY repo, file_path ORDER BY start_line, position, chunk_id, content, source) AS rn FROM ch),
+f AS (SELECT repo, file_path, rn, start_line AS s, end_line AS e, content AS c, source AS src, confidence::double AS cf,
+    NULL::STRUCT(s BIGINT, e BIGINT, c VARCHAR, src VARCHAR, cf DOUBLE) AS em FROM o WHERE rn = 1
+  UNION ALL SELECT o.repo, o.file_path, o.rn, n.s, n.e, n.c, n.src, n.cf, em FROM (
+    SELECT o.*, CASE WHEN {_NEAR} AND NOT {_LARGE} THEN {_MERGED} ELSE {{'s': o.start_line, 'e': o.end_line, 'c': o.content, 'src': o.source, 'cf': o.confidence::double}} END AS n,
+      CASE WHEN NOT ({_NEAR}) THEN {{'s': f.s, 'e': f.e, 'c': f.c, 'src': f.src, 'cf': f.cf}} WHEN {_LARGE} THEN {_MERGED} END AS em
+    FROM f JOIN o ON o.repo = f.repo AND o.file_path = f.file_path AND o.rn = f.rn + 1) o)"""
+
+
+@check("h6_merge_chunks_capped", f"""WITH RECURSIVE {CHUNKS_SQL}, {CAPPED_SQL}, l AS (SELECT * FROM f QUALIFY rn = max(rn) OVER (PARTITION BY repo, file_path))
+  SELECT repo, file_path, em.s AS start_line, em.e AS end_line, em.c AS content, em.src AS source, em.cf AS confidence FROM f WHERE em IS NOT NULL
+  UNION ALL SELECT repo, file_path, s, e, c, src, cf FROM l""")
 def h6_capped(spark, sf):
     return C.merge_chunks(code_chunks(spark, sf), max_size=60, order=ORDER)
 

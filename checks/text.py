@@ -51,7 +51,24 @@ def f1_documents(spark, sf):
     return templates.templates_exact(lines, keys=["doc_id"])
 
 
-@check("f2_templates_similar")
+# Line by line: each joins the first of the best templates of its log and token count, or opens one.
+_SAME = "list_sum(list_transform(range(1, w + 1), lambda i: (x.t[i] = tokens[i] OR x.t[i] = '<*>' OR tokens[i] = '<*>')::int)) / w"
+SIMILAR_SQL = f"""lt AS (SELECT log_id, line_no, trim(line, ' ') AS text, list_transform(list_filter(string_split_regex(trim(line, ' '), {q(formats.WHITESPACE + '+')}), lambda t: t <> ''),
+    lambda t: CASE WHEN regexp_matches(t, {q(formats.VARIABLE_TOKEN)}) THEN '<*>' ELSE t END) AS tokens FROM lines),
+lo AS (SELECT log_id, len(tokens) AS w, tokens, text[:200] AS ex, line_no, row_number() OVER (PARTITION BY log_id, len(tokens) ORDER BY line_no) AS rn FROM lt),
+gr AS (SELECT log_id, w, rn, [{{'t': tokens, 'id': md5(array_to_string(tokens, ' '))[:16], 'n': 1::bigint, 'f': line_no, 'e': [ex]}}] AS ts FROM lo WHERE rn = 1
+  UNION ALL SELECT log_id, w, rn, CASE WHEN top >= 0.5 THEN list_transform(ts, lambda x, j: CASE WHEN j <> best THEN x ELSE
+      {{'t': list_transform(range(1, w + 1), lambda i: CASE WHEN x.t[i] = tokens[i] THEN tokens[i] ELSE '<*>' END), 'id': x.id, 'n': x.n + 1, 'f': x.f,
+        'e': CASE WHEN len(x.e) < 3 THEN list_append(x.e, ex) ELSE x.e END}} END)
+    ELSE list_append(ts, {{'t': tokens, 'id': md5(array_to_string(tokens, ' '))[:16], 'n': 1::bigint, 'f': line_no, 'e': [ex]}}) END
+  FROM (SELECT *, list_max(sc) AS top, list_position(sc, list_max(sc)) AS best FROM (
+    SELECT lo.*, ts, list_transform(ts, lambda x: CASE WHEN lo.w = 0 THEN 1.0 ELSE {_SAME.replace('w + 1', 'lo.w + 1').replace('/ w', '/ lo.w').replace('tokens[', 'lo.tokens[')} END) AS sc
+    FROM gr JOIN lo ON lo.log_id = gr.log_id AND lo.w = gr.w AND lo.rn = gr.rn + 1))),
+gl AS (SELECT log_id, unnest(ts) AS x FROM (SELECT * FROM gr QUALIFY rn = max(rn) OVER (PARTITION BY log_id, w)))"""
+
+
+@check("f2_templates_similar", f"""WITH RECURSIVE {LINES_SQL}, {SIMILAR_SQL} SELECT log_id, x.id AS id, array_to_string(x.t, ' ') AS template, x.n AS count,
+  x.f AS first_seen_line, array_to_string(x.e, ' | ') AS examples FROM gl""")
 def f2(spark, sf):
     out = templates.templates_similar(event_lines(spark, sf))
     return out.withColumn("examples", F.array_join("examples", " | "))
