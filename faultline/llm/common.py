@@ -25,6 +25,18 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of texts that reach a Python worker at once, at most: long texts then don't pile up in its memory.
+BATCH_ROWS = 1_000
+
+
+def map_batches(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` over batches of at most BATCH_ROWS rows (a setting of the session, lowered where it is higher)."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(setting)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(setting, BATCH_ROWS)
+    return df.mapInArrow(function, schema)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z as a-z, all else as it is.  Texts without other letters take the byte-wise path of ``lower``."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

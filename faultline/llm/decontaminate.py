@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from faultline.llm.common import written
+from faultline.llm.common import map_batches, written
 from faultline.llm.marks import BITS, bitmap_of, without
 from faultline.llm.words import LETTERS, Block, blocks, mix, runs
 
@@ -109,7 +109,7 @@ def fingerprints(texts: DataFrame, id_col: str, text_col: str, span: int, k: int
                 yield pa.RecordBatch.from_arrays([ids, pa.array(counts.astype(np.int64)), pa.array(key), _hit_lists(rows, block.rows, parts, block.words)], ["_id", "_n", "_key", "_hits"])
 
     id_type = texts.schema[id_col].dataType.simpleString()
-    return texts.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(scan, f"_id {id_type}, _n bigint, _key bigint, _hits {HITS}")
+    return map_batches(texts.select(F.col(id_col), F.col(text_col).cast("string")), scan, f"_id {id_type}, _n bigint, _key bigint, _hits {HITS}")
 
 
 def _extended(span: int, k: int) -> tuple[Column, Column]:

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import written
+from faultline.llm.common import map_batches, written
 from faultline.llm.components import component_labels
 from faultline.llm.marks import bitmap_of, marked, without
 from faultline.llm.words import Block, blocks, mix, shingles
@@ -75,7 +75,7 @@ def rarity_table(texts: DataFrame, text_col: str, k: int) -> np.ndarray:
             for block in blocks(batch.column(0)):
                 found, _ = _sets(block, k)
                 held.append((found >> np.uint64(64 - COUNTER_BITS)).astype(np.int64))
-                if sum(map(len, held)) >= 4_000_000:
+                if sum(map(len, held)) >= 2_000_000:
                     yield flush()
         if held:
             yield flush()
@@ -95,7 +95,7 @@ def rarity_table(texts: DataFrame, text_col: str, k: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([packed.sum(1).astype(np.uint8).tobytes()], pa.binary())], ["chunk", "data"])
 
     chunks = 1 << COUNTER_BITS - CHUNK_BITS
-    parts = texts.select(F.col(text_col).cast("string")).mapInArrow(count, "chunk int, data binary")
+    parts = map_batches(texts.select(F.col(text_col).cast("string")), count, "chunk int, data binary")
     levels = parts.repartition(chunks, "chunk").mapInArrow(total, "chunk int, data binary")
     table = np.zeros(1 << COUNTER_BITS - 2, np.uint8)
     size = 1 << CHUNK_BITS - 2
@@ -153,7 +153,7 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int)
                 yield pa.RecordBatch.from_arrays(columns, ["_id", "n", "cid", "l", "head", "prefix"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(scan, f"_id {id_type}, n bigint, cid bigint, l int, head int, prefix array<bigint>")
+    return map_batches(docs.select(F.col(id_col), F.col(text_col).cast("string")), scan, f"_id {id_type}, n bigint, cid bigint, l int, head int, prefix array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, text_col: str, k: int) -> DataFrame:
@@ -167,7 +167,7 @@ def shingle_sets(docs: DataFrame, text_col: str, k: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(found.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(names), lists], ["cid", "shingles"])
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(scan, "cid bigint, shingles array<bigint>")
+    return map_batches(docs.select(F.col(text_col).cast("string")), scan, "cid bigint, shingles array<bigint>")
 
 
 def _linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

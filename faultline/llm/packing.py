@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultline.llm.common import row_slices, written
-from faultline.llm.pieces import pieces_of, word_units
-from faultline.llm.words import BLOCK_BYTES, text_bytes
+from faultline.llm.common import map_batches, row_slices, written
+from faultline.llm.pieces import LOOKUP_BYTES, pieces_of, word_units
+from faultline.llm.words import text_bytes
 
 CAPACITY, END_ID = 4096, 1
 PARTITION_ROWS = 4_000
@@ -35,7 +35,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_i
         pieces = pieces_of(path, ids=True)
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-            for first, stop in row_slices(sizes, BLOCK_BYTES):
+            for first, stop in row_slices(sizes, LOOKUP_BYTES):
                 data, offsets = text_bytes(batch.column(1), first, stop)
                 starts, ends = word_units(data, offsets)
                 entry = pieces.look_up(data, starts, ends)
@@ -60,7 +60,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_i
 
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"_id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(scan, schema).withColumnRenamed("_id", id_col)
+    return map_batches(docs.select(F.col(id_col), F.col(text_col).cast("string")), scan, schema).withColumnRenamed("_id", id_col)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:

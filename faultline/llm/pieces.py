@@ -12,7 +12,9 @@ import numpy as np
 
 from faultline.llm.words import NOT_SPACE, bounds, span_hashes
 
-KEPT_UNITS = 3_000_000
+KEPT_UNITS = 1_500_000
+#: Bytes of texts that are looked up together.
+LOOKUP_BYTES = 4 << 20
 
 _SAFE_ASCII = np.zeros(256, bool)
 _SAFE_ASCII[0x21:0x7F] = True

@@ -14,9 +14,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import row_slices
-from faultline.llm.pieces import pieces_of, spaced_units
-from faultline.llm.words import BLOCK_BYTES, text_bytes
+from faultline.llm.common import map_batches, row_slices
+from faultline.llm.pieces import LOOKUP_BYTES, pieces_of, spaced_units
+from faultline.llm.words import text_bytes
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -30,7 +30,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
         pieces = pieces_of(path, ids=False)
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-            for start, stop in row_slices(sizes, BLOCK_BYTES):
+            for start, stop in row_slices(sizes, LOOKUP_BYTES):
                 data, offsets = text_bytes(batch.column(1), start, stop)
                 sums = np.zeros(1, np.int64)
                 first = np.zeros(len(offsets), np.int64)
@@ -43,5 +43,5 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)], ["_id", "n_bytes", "n_tokens", "over_limit"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(count, f"_id {id_type}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    out = map_batches(docs.select(F.col(id_col), F.col(text_col).cast("string")), count, f"_id {id_type}, n_bytes bigint, n_tokens bigint, over_limit boolean")
     return out.withColumnRenamed("_id", id_col)

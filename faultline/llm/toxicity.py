@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import written
+from faultline.llm.common import map_batches, written
 from faultline.llm.words import LETTERS, Block, blocks, mix, span_hashes
 
 #: Labelled documents of each class that the model is fitted on, at most; they are those of the least hashes of the id.
@@ -64,7 +64,7 @@ def sample_features(texts: DataFrame, text_col: str, label_col: str) -> DataFram
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs.f0, np.arange(block.rows + 1)).astype(np.int32)), pa.array(np.ascontiguousarray(pairs.f1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(block.first, block.rows), lists], ["label", "features"])
 
-    found = texts.select(F.col(text_col).cast("string"), F.col(label_col).cast("int")).mapInArrow(scan, "label int, features array<bigint>")
+    found = map_batches(texts.select(F.col(text_col).cast("string"), F.col(label_col).cast("int")), scan, "label int, features array<bigint>")
     return found.withColumn("row", F.monotonically_increasing_id())
 
 
@@ -206,7 +206,7 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays(columns, ["_id", "severity", "grade", "toxic"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(scan, f"_id {id_type}, severity double, grade int, toxic boolean")
+    out = map_batches(docs.select(F.col(id_col), F.col(text_col).cast("string")), scan, f"_id {id_type}, severity double, grade int, toxic boolean")
     return out.withColumnRenamed("_id", id_col)
 
 
@@ -219,4 +219,4 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") ->
         for batch in batches:
             yield batch.filter(pa.array(~np.concatenate([np.zeros(0, bool), *(t for _, _, t in toxic(batch.column(at)))])))
 
-    return docs.mapInArrow(scan, docs.schema)
+    return map_batches(docs, scan, docs.schema)

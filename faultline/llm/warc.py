@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm.common import written
+from faultline.llm.common import map_batches, written
 from faultline.llm.marks import bitmap_of, marked
 
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 64 << 20
@@ -174,7 +174,7 @@ def write_bundles(rows: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES,
             yield found()
 
     wanted = rows.select(F.col("id").cast("string"), "url", "body", "n", "digest", F.col("refers_to").cast("string"), "revisit")
-    return written(wanted.mapInArrow(scan, INDEX), "warc-index")
+    return written(map_batches(wanted, scan, INDEX), "warc-index")
 
 
 def seek_table(stream, size: int) -> list[tuple[int, int]]:
@@ -221,7 +221,7 @@ def read_bundles(spark: SparkSession, folder: str, with_payload: bool = False) -
     if not files.get_file_info(fs.FileSelector(path, allow_not_found=True)):
         return spark.createDataFrame([], RECORD)
     bundles = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path", "length")
-    return bundles.mapInArrow(scan, RECORD)
+    return map_batches(bundles, scan, RECORD)
 
 
 def fetch_records(wanted: DataFrame, folder: str) -> DataFrame:
@@ -239,4 +239,4 @@ def fetch_records(wanted: DataFrame, folder: str) -> DataFrame:
                 yield _record_batch([(h, p) for at, _, h, p in parse_records(data) if at in places], True)
 
     frames = wanted.groupBy("bundle", "frame", "frame_at", "frame_bytes").agg(F.collect_set("offset").alias("offsets"))
-    return frames.mapInArrow(scan, RECORD)
+    return map_batches(frames, scan, RECORD)

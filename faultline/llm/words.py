@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 from faultline.llm.common import row_slices
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
