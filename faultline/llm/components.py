@@ -14,8 +14,12 @@ def component_labels(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Rounds of large-star and small-star steps on the table of links: each node hands its larger, then its smaller neighbours to the least one.
     Every link of a component ends at its least node after a number of rounds that grows with the logarithm of the component's size.
     """
+    def total(table: DataFrame):
+        return table.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
     edges = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links")
-    while True:
+    before = total(edges)
+    while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # Large star: larger neighbours go to the least of the neighbourhood, the node itself included.
@@ -24,9 +28,9 @@ def component_labels(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
         following = written(small.where("u <> v").distinct(), "links")
-        total = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if total(following) == total(edges):
+        after = total(following)
+        if after == before:
             break
-        edges = following
+        edges, before = following, after
     labels = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
