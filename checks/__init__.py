@@ -44,4 +44,4 @@ def load_all() -> None:
 
 
 MODULES = ["lines", "gate", "matching", "temporal", "text", "tickets", "retrieval", "scoring", "chunks", "crash",
-           "telemetry", "records", "triage", "streams"]
+           "telemetry", "records", "triage", "streams", "sources"]
