@@ -215,7 +215,15 @@ def d9(spark, sf):
                       "original_file", "original_line", "status")
 
 
-@check("g7_decode_source_maps")
+# All digits drawn are below 32, so each letter is a value of its own, and a segment has four of them; the last may have fewer.
+@check("g7_decode_source_maps", """WITH t AS (SELECT url || '#' || page_id AS key, url, translate(regexp_replace(html, '[^A-Za-z0-9+/]', '', 'g'),
+    'ghijklmnopqrstuvwxyz0123456789+/', 'ABCDEFGHIJKLMNOPQRSTUVWXYZABCDEF') AS x FROM pages),
+  s AS (SELECT key, url, i, list_transform(list_transform(string_split(substr(x, 4 * i + 1, 4), ''), lambda c: position(c IN 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdef') - 1),
+    lambda v: CASE WHEN v % 2 = 1 THEN -(v // 2) ELSE v // 2 END) AS v FROM (SELECT *, unnest(range(0, (length(x) + 3) // 4)) AS i FROM t)),
+  r AS (SELECT *, len(v) = 4 AS m, sum(v[1]) OVER w AS g, sum(v[2]) FILTER (WHERE len(v) = 4) OVER w AS sn, sum(v[3]) FILTER (WHERE len(v) = 4) OVER w AS ln,
+    sum(v[4]) FILTER (WHERE len(v) = 4) OVER w AS cn FROM s WINDOW w AS (PARTITION BY key ORDER BY i))
+  SELECT key AS url, 1::bigint AS gen_line, g::bigint AS gen_col, i::bigint AS segment_no, CASE WHEN m AND sn = 0 THEN url END AS source,
+    CASE WHEN m THEN ln::bigint + 1 END AS orig_line, CASE WHEN m THEN cn::bigint END AS orig_col, NULL::varchar AS name FROM r""")
 def g7(spark, sf):
     """Maps whose segments are drawn from the pages' own text."""
     letters = F.translate(F.regexp_replace("html", "[^A-Za-z0-9+/]", ""),
@@ -223,4 +231,4 @@ def g7(spark, sf):
     mappings = F.regexp_replace(letters, "(.{4})(?=.)", "$1,")
     doc = F.to_json(F.struct(F.lit(3).alias("version"), F.array(F.col("url")).alias("sources"), F.array(F.lit("n")).alias("names"), mappings.alias("mappings")))
     maps = table(spark, sf, "pages").select(F.concat("url", F.lit("#"), F.col("page_id")).alias("url"), doc.alias("json"))
-    return browser.decode_source_maps(maps)
+    return browser.decode_source_maps(maps).withColumn("segment_no", F.col("segment_no").cast("bigint"))
