@@ -22,12 +22,18 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import written
+from faultline.llm.common import map_batches, written
 from faultline.llm.words import Block, blocks
 
-EPSILON, DISCOUNT = 1e-6, 0.5
+EPSILON = 1e-6
+#: What is taken off every n-gram's count lies between these; within them it is estimated from how many n-grams occur once and twice.
+DISCOUNTS = 0.5, 0.95
 #: Tokens that a task counts together before it passes the counts on.
 BLOCK_TOKENS = 4_000_000
+#: Bytes of texts that are scored side by side.
+SCORE_BYTES = 4 << 20
+#: Words of a row that are read one after the other; a longer row is read in stretches side by side.
+STRETCH = 512
 #: The word that ends a text.
 END = np.uint64(0x9E3779B97F4A7C15)
 _WORD_BITS = 20
@@ -90,7 +96,7 @@ def _counted(texts: DataFrame, keys_of, schema: str, limit: int) -> DataFrame:
         if held:
             yield keys_of(*_joined(held))
 
-    return texts.mapInArrow(scan, schema)
+    return map_batches(texts, scan, schema)
 
 
 def _joined(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -197,18 +203,27 @@ class Automaton:
         return out, score
 
     def traverse(self, index: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Log10 probability of every row of word numbers, without the rare words' own: all rows are read side by side, word by word."""
+        """Log10 probability of every row of word numbers, without the rare words' own.
+
+        Rows are read side by side, word by word.  A long row is read in stretches side by side too: the state at a cut is the one that the two
+        words before it lead to, as no state is longer than that.
+        """
         counts = np.diff(first)
-        order = np.argsort(-counts, kind="stable")
-        start, state, score = first[:-1][order], np.zeros(len(counts), np.int64), np.zeros(len(counts))
-        ascending = counts[order][::-1]
-        for step in range(int(counts.max(initial=0))):
-            n = len(counts) - int(np.searchsorted(ascending, step, "right"))  # rows that have a word left
+        stretches = -(-counts // STRETCH)
+        row = np.repeat(np.arange(len(counts)), stretches)
+        place = (np.arange(len(row)) - np.repeat(np.cumsum(stretches) - stretches, stretches)) * STRETCH
+        length = np.minimum(counts[row] - place, STRETCH)
+        order = np.argsort(-length, kind="stable")
+        start, length, cut = (first[:-1][row] + place)[order], length[order], np.flatnonzero(place[order])
+        state, score = np.zeros(len(row), np.int64), np.zeros(len(row))
+        for back in (2, 1):
+            state[cut], _ = self.steps(state[cut], index[start[cut] - back])
+        ascending = length[::-1]
+        for step in range(int(length.max(initial=0))):
+            n = len(length) - int(np.searchsorted(ascending, step, "right"))  # stretches that have a word left
             state[:n], gained = self.steps(state[:n].copy(), index[start[:n] + step])
             score[:n] += gained
-        out = np.empty(len(counts))
-        out[order] = score
-        return out
+        return np.bincount(row[order], weights=score, minlength=len(counts))
 
 
 def unigram(c, total: int, vocabulary: int):
@@ -216,7 +231,13 @@ def unigram(c, total: int, vocabulary: int):
     return np.log10((c + 0.5) / (total + 0.5 * (vocabulary + 1)))
 
 
-def compile_automaton(words: Words, grams: dict[int, tuple[np.ndarray, np.ndarray]], total: int, vocabulary: int, discount: float = DISCOUNT) -> Automaton:
+def estimated_discount(counts: np.ndarray) -> float:
+    """n1 / (n1 + 2 n2) of the n-grams that occur once and twice, within DISCOUNTS."""
+    once, twice = int((counts == 1).sum()), int((counts == 2).sum())
+    return float(np.clip(once / max(1, once + 2 * twice), *DISCOUNTS))
+
+
+def compile_automaton(words: Words, grams: dict[int, tuple[np.ndarray, np.ndarray]], total: int, vocabulary: int) -> Automaton:
     """Absolute discounting with backoff: what the arcs of a state leave goes to its failure arc, over what they leave of the shorter suffix."""
     n = len(words.hashes)
     mask = (1 << _WORD_BITS) - 1
@@ -225,10 +246,10 @@ def compile_automaton(words: Words, grams: dict[int, tuple[np.ndarray, np.ndarra
     states = 1 + n + len(two)
     p1 = 10 ** unigram(words.counts, total, vocabulary)
     head2, tail2 = two >> _WORD_BITS, two & mask
-    p2 = (c2 - discount) / words.counts[head2]
+    p2 = (c2 - estimated_discount(c2)) / words.counts[head2]
     left, inner = three >> _WORD_BITS, three & ((1 << 2 * _WORD_BITS) - 1)
     at_left, at_inner = np.searchsorted(two, left), np.searchsorted(two, inner)  # a frequent trigram's bigrams are frequent
-    p3 = (c3 - discount) / c2[at_left]
+    p3 = (c3 - estimated_discount(c3)) / c2[at_left]
     fail = np.zeros(states, np.int64)
     fail[1 + n :] = 1 + tail2
     used, below = np.zeros(states), np.zeros(states)
@@ -267,7 +288,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         row, model = TaskContext.get().partitionId() << 40, shared.value
         logs = unigram(model.words.counts, total, vocabulary)
         for batch in batches:
-            for part in blocks(batch.column(2)):
+            for part in blocks(batch.column(2), limit=SCORE_BYTES):
                 tokens, first = block_tokens(part)
                 index = model.words.index(tokens)
                 known = np.concatenate([[0], np.cumsum(index >= 0)])
@@ -281,7 +302,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"_id {id_type}, held_out boolean, _row bigint, n_tokens bigint, _known bigint, _base double, _score double, _rare array<bigint>"
-    scored = written(docs.select(F.col(id_col), held_out(id_col), text).mapInArrow(scan, schema), "lm-scores")
+    scored = written(map_batches(docs.select(F.col(id_col), held_out(id_col), text), scan, schema), "lm-scores")
     rare = scored.select("_row", F.explode("_rare").alias("word")).join(counts.where(F.col("c") < epsilon * total), "word", "left")
     denominator = float(total + 0.5 * (vocabulary + 1))
     c = F.coalesce("c", F.lit(0))

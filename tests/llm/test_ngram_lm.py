@@ -27,8 +27,10 @@ def brute(rows, epsilon):
     kept = {n: {g: k for g, k in c[n].items() if k >= epsilon * total} for n in (1, 2, 3)}
     arcs = {}
     for n in (2, 3):
+        once, twice = (sum(k == m for k in kept[n].values()) for m in (1, 2))
+        discount = min(0.95, max(0.5, once / max(1, once + 2 * twice)))
         for g, k in kept[n].items():
-            arcs.setdefault(g[:-1], {})[g[-1]] = (k - 0.5) / c[n - 1][g[:-1]]
+            arcs.setdefault(g[:-1], {})[g[-1]] = (k - discount) / c[n - 1][g[:-1]]
 
     def base(w):
         return (c[1][(w,)] + 0.5) / (total + 0.5 * (vocabulary + 1))
