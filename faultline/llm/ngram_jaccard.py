@@ -75,7 +75,7 @@ def rarity_table(texts: DataFrame, text_col: str, k: int) -> np.ndarray:
             for block in blocks(batch.column(0)):
                 found, _ = _sets(block, k)
                 held.append((found >> np.uint64(64 - COUNTER_BITS)).astype(np.int64))
-                if sum(map(len, held)) >= 2_000_000:
+                if sum(map(len, held)) >= 1_000_000:
                     yield flush()
         if held:
             yield flush()

@@ -12,9 +12,9 @@ import numpy as np
 
 from faultline.llm.words import NOT_SPACE, bounds, span_hashes
 
-KEPT_UNITS = 1_500_000
+KEPT_UNITS = 800_000
 #: Bytes of texts that are looked up together.
-LOOKUP_BYTES = 4 << 20
+LOOKUP_BYTES = 2 << 20
 
 _SAFE_ASCII = np.zeros(256, bool)
 _SAFE_ASCII[0x21:0x7F] = True
