@@ -96,10 +96,10 @@ def rarity_table(texts: DataFrame, text_col: str, k: int) -> np.ndarray:
 
     chunks = 1 << COUNTER_BITS - CHUNK_BITS
     parts = map_batches(texts.select(F.col(text_col).cast("string")), count, "chunk int, data binary")
-    levels = parts.repartition(chunks, "chunk").mapInArrow(total, "chunk int, data binary")
+    levels = written(parts.repartition(chunks, "chunk").mapInArrow(total, "chunk int, data binary"), "rarity")
     table = np.zeros(1 << COUNTER_BITS - 2, np.uint8)
     size = 1 << CHUNK_BITS - 2
-    for row in levels.collect():  # COUNTER_BITS - 2 bits of bytes, whatever the size of the corpus
+    for row in levels.coalesce(4).toLocalIterator():  # 2 ** (COUNTER_BITS - 2) bytes, whatever the size of the corpus
         table[row["chunk"] * size : (row["chunk"] + 1) * size] = np.frombuffer(row["data"], np.uint8)
     return table
 
@@ -139,7 +139,7 @@ def _prefixes(found: np.ndarray, rows: np.ndarray, counts: np.ndarray, level: np
 
 
 def prefixes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """Per document: ``_id``, ``n`` shingles, ``cid`` (the name of its set, null if empty), ``l``, ``head``, ``prefix`` (its shared shingles)."""
+    """A written table with, per document: ``_id``, ``n`` shingles, ``cid`` (the name of its set, null if empty), ``l``, ``head``, ``prefix`` (its shared shingles)."""
     table = docs.sparkSession.sparkContext.broadcast(rarity_table(docs, text_col, k))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +153,10 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int)
                 yield pa.RecordBatch.from_arrays(columns, ["_id", "n", "cid", "l", "head", "prefix"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(F.col(id_col), F.col(text_col).cast("string")), scan, f"_id {id_type}, n bigint, cid bigint, l int, head int, prefix array<bigint>")
+    found = map_batches(docs.select(F.col(id_col), F.col(text_col).cast("string")), scan, f"_id {id_type}, n bigint, cid bigint, l int, head int, prefix array<bigint>")
+    found = written(found, "shingle-prefixes")
+    table.destroy()
+    return found
 
 
 def shingle_sets(docs: DataFrame, text_col: str, k: int) -> DataFrame:
@@ -196,7 +199,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lead to; a text without words is alone.  Ids may repeat: equal texts of one id are one document in effect.  Null ids take part and
     count as no id, so a component of only such rows has a null id.  Other columns are ignored.
     """
-    members = written(prefixes(docs, id_col, text_col, k, percent), "shingle-prefixes")
+    members = prefixes(docs, id_col, text_col, k, percent)
     some = members.where("cid IS NOT NULL")
     classes = written(some.groupBy("cid").agg(F.min("_id").alias("least"), F.first("n").alias("n"), F.first("l").alias("l"), F.first("head").alias("head"), F.first("prefix").alias("prefix")), "shingle-classes")
 
@@ -227,10 +230,14 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     all_ = mixed.select("token", F.col("cid").alias("y"), F.col("n").alias("y_n"), F.col("at").alias("y_at"), F.col("part").alias("y_part"))
     second = others.join(all_, "token").where("x_part <> y_part").where(_possible("x_n", "x_at", "y_n", "y_at", percent))
     second = second.select(*ordered).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    more = written(_linked(second, classes, sets, percent), "shingle-links")
-    labels = component_labels(links.unionByName(more))
-
-    of_class = classes.select("cid", "least").join(labels, F.col("cid") == F.col("node"), "left").select("cid", "least", F.coalesce("label", "cid").alias("label"))
+    more = _linked(second, classes, sets, percent)
+    # The links found now join components of the first ones, so only those are looked at again.
+    known = labels.select("node", "label")
+    more = more.join(known.toDF("a", "of_a"), "a", "left").join(known.toDF("b", "of_b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    joined = component_labels(more).toDF("part", "whole")
+
+    of_class = classes.select("cid", "least").join(labels, F.col("cid") == F.col("node"), "left").select("cid", "least", F.coalesce("label", "cid").alias("part"))
+    of_class = of_class.join(joined, "part", "left").select("cid", "least", F.coalesce("whole", "part").alias("label"))
     ids = of_class.groupBy("label").agg(F.min("least").alias("component_id"))
     of_class = written(of_class.join(ids, "label").select("cid", "component_id"), "shingle-components")
     found = some.select("_id", "n", "cid").join(of_class, "cid").select("_id", "n", "cid", "component_id")
