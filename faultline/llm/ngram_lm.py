@@ -1,42 +1,38 @@
-"""Language-model scores from a weighted backoff automaton.
+"""Language-model scores from a weighted backoff model of all n-grams up to three words.
 
-N-grams up to three words become states and arcs: a state is the longest suffix of what was read that is itself an n-gram of the model, an arc
-reads a word with a probability, and a failure arc leads to the next shorter suffix with a backoff weight.  A text is scored in one traversal
-from left to right that carries the state and sums log10 probabilities.
+A state is the longest suffix of what was read that is itself an n-gram of the model, an arc reads a word with a probability, and a failure arc
+leads to the next shorter suffix with a backoff weight.  A text's score is the sum of the log10 probabilities along its one traversal.
 
-The model keeps the n-grams with a share of at least ``epsilon`` of all training tokens, whatever the size of the corpus; there can be no more
-than 1 / epsilon of each order, which bounds the automaton that is sent to the tasks.  Words below that share have no state; their unigram
-probabilities, as many as the corpus has words, stay in a table that is joined to the rare words of the texts.  All counts are exact: counts of
-words by one aggregation; candidates for longer n-grams by lossy counting in blocks, whose error is known and allowed for; their counts by another
-pass over the texts.
+The model holds every n-gram of the training texts, whatever the size of the corpus, and no part of it is held in one place.  Texts are cut into
+blocks of tokens.  A block asks for the counts of its distinct n-grams; requests are dealt by ranges of n-gram hashes, as many ranges as the texts
+have blocks' worth of bytes, so a key reaches its range at most once a block, however frequent it is.  The answers meet the block again, which
+sums the arcs that it reads.  Of every n-gram one block is the owner; it adds the n-gram to the sums of its history, from which the weights of
+the failure arcs follow.  Those are joined to the texts that take them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.common import map_batches, written
-from faultline.llm.words import Block, blocks
+from faultline.llm.marks import bitmap_of, marked
+from faultline.llm.words import Block, blocks, mix
 
-EPSILON = 1e-6
 #: What is taken off every n-gram's count lies between these; within them it is estimated from how many n-grams occur once and twice.
 DISCOUNTS = 0.5, 0.95
-#: Tokens that a task counts together before it passes the counts on.
-BLOCK_TOKENS = 4_000_000
-#: Bytes of texts that are scored side by side.
-SCORE_BYTES = 4 << 20
-#: Words of a row that are read one after the other; a longer row is read in stretches side by side.
-STRETCH = 512
+#: Tokens that a task looks up together.
+BLOCK_TOKENS = 2_000_000
+#: Bytes of texts for each range of n-gram hashes.
+RANGE_BYTES = 16 << 20
 #: The word that ends a text.
 END = np.uint64(0x9E3779B97F4A7C15)
-_WORD_BITS = 20
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -55,259 +51,250 @@ def block_tokens(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return tokens, first
 
 
-@dataclass
-class Words:
-    """Words that have a share of ``epsilon``: ascending hashes, and counts."""
+def _joined(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    tokens = np.concatenate([t for t, _ in held])
+    shift = np.concatenate([[0], np.cumsum([len(t) for t, _ in held])])
+    first = np.concatenate([f[:-1] + s for (_, f), s in zip(held, shift)] + [shift[-1:]])
+    return tokens, first
+
+
+def _grams(tokens: np.ndarray, first: np.ndarray) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
+    """Per order: the places where an n-gram ends that doesn't cross a row's start, and a key (hash) for each."""
+    place = np.arange(len(tokens)) - np.repeat(first[:-1], np.diff(first))
+    one = mix(tokens)
+    two = np.zeros_like(one)
+    two[1:] = mix(one[:-1] * np.uint64(0xD6E8FEB86659FD93) + tokens[1:])
+    three = np.zeros_like(one)
+    three[1:] = mix(two[:-1] * np.uint64(0xA0761D6478BD642F) + tokens[1:])
+    at = {1: np.arange(len(tokens)), 2: np.flatnonzero(place >= 1), 3: np.flatnonzero(place >= 2)}
+    # The lowest bit is left free for a flag that is sorted along.
+    return at, {n: keys[at[n]] & ~np.uint64(1) for n, keys in ((1, one), (2, two), (3, three))}
+
 
-    hashes: np.ndarray
-    counts: np.ndarray
+def _packed(values: np.ndarray, ascending: bool = False) -> bytes:
+    """Numbers as bytes, those of equal rank together; ascending ones as steps."""
+    if ascending:
+        values = np.diff(values, prepend=values.dtype.type(0))
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes())
 
-    def index(self, tokens: np.ndarray) -> np.ndarray:
-        """Number of each token's word, -1 for a rare one."""
-        if not len(self.hashes):
-            return np.full(len(tokens), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, tokens), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == tokens, at, -1)
 
+def _unpacked(blob: bytes, dtype, ascending: bool = False) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(size, -1)
+    values = np.ascontiguousarray(raw.T).reshape(-1).view(dtype)
+    return np.cumsum(values, dtype=dtype) if ascending else values
 
-def _grams(index: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]:
-    """Keys of the bigrams, then of the trigrams, of frequent words; none crosses a row's end."""
-    start = np.zeros(len(index) + 1, bool)
-    start[first] = True
-    two = (index[:-1] >= 0) & (index[1:] >= 0) & ~start[1:-1]
-    pair = (index[:-1] << _WORD_BITS) | index[1:]
-    yield pair[two]
-    three = two[:-1] & two[1:]
-    yield ((pair[:-1] << _WORD_BITS) | index[2:])[three]
 
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the keys in which equal ones are together, where each distinct one starts in it, and each key's number among those."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), inverse
 
-def _counted(texts: DataFrame, keys_of, schema: str, limit: int) -> DataFrame:
-    """What ``keys_of`` makes of blocks of about ``limit`` tokens, given as (tokens, index of each row's first)."""
+
+def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where each of ``parts`` equal ranges of hashes starts among ascending keys."""
+    edges = np.array([(i << 64) // parts for i in range(parts)], np.uint64)
+    return np.append(np.searchsorted(keys, edges), len(keys))
+
+
+def _blocks(docs: DataFrame, id_col: str, text_col: str, limit: int) -> DataFrame:
+    """A row for each document, with its block and place in it, and a row (of no ``_at``) for each block: distinct words, tokens, first tokens, held-out rows."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         held, n = [], 0
+
+        def passed():
+            ids, outs, rows = zip(*held)
+            tokens, first = _joined(list(rows))
+            out = np.concatenate(outs)
+            words, index = np.unique(tokens, return_inverse=True)
+            blobs = [_packed(words, True), _packed(index.astype(np.int32)), _packed(first, True), _packed(out.astype(np.uint8))]
+            documents = [pa.concat_arrays(ids), pa.array(out), pa.array(np.arange(len(out))), pa.array(np.diff(first)), pa.array(np.full(len(out), number)), *[pa.nulls(len(out), pa.binary())] * 4]
+            yield pa.RecordBatch.from_arrays(documents, names)
+            block = [pa.nulls(1, ids[0].type), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([number]), *(pa.array([x], pa.binary()) for x in blobs)]
+            yield pa.RecordBatch.from_arrays(block, names)
+
         for batch in batches:
-            for block in blocks(batch.column(0)):
-                held.append(block_tokens(block))
-                n += len(held[-1][0])
+            for block in blocks(batch.column(2)):
+                tokens = block_tokens(block)
+                held.append((batch.column(0).slice(block.first, block.rows), batch.column(1).slice(block.first, block.rows).to_numpy(zero_copy_only=False).astype(bool), tokens))
+                n += len(tokens[0])
                 if n >= limit:
-                    yield keys_of(*_joined(held))
-                    held, n = [], 0
+                    yield from passed()
+                    held, n, number = [], 0, number + 1
         if held:
-            yield keys_of(*_joined(held))
+            yield from passed()
 
-    return map_batches(texts, scan, schema)
+    names = ["_id", "held_out", "_at", "n_tokens", "block", "a", "b", "c", "d"]
+    id_type = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col), held_out(id_col), F.col(text_col).cast("string"))
+    return map_batches(rows, scan, f"_id {id_type}, held_out boolean, _at bigint, n_tokens bigint, block bigint, a binary, b binary, c binary, d binary")
 
 
-def _joined(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    tokens = np.concatenate([t for t, _ in held])
-    shift = np.concatenate([[0], np.cumsum([len(t) for t, _ in held])])
-    first = np.concatenate([f[:-1] + s for (_, f), s in zip(held, shift)] + [shift[-1:]])
-    return tokens, first
+def _block_read(a: bytes, b: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of a block and the index of each row's first."""
+    return _unpacked(a, np.uint64, True)[_unpacked(b, np.int32)], _unpacked(c, np.int64, True)
 
 
-def word_counts(texts: DataFrame, limit: int = BLOCK_TOKENS) -> DataFrame:
-    """``word`` (hash) and ``c`` of every token of the texts (one string column), the end included."""
-
-    def keys_of(tokens, first):
-        words, counts = np.unique(tokens, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["word", "c"])
-
-    return _counted(texts, keys_of, "word bigint, c bigint", limit).groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def frequent_grams(texts: DataFrame, words: Words, total: int, epsilon: float, limit: int = BLOCK_TOKENS) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Per order 2 and 3: keys (ascending) and exact counts of the n-grams with a share of ``epsilon``."""
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(words)
-
-    def lossy(tokens, first):
-        # What a block leaves out occurs at most `lost` times in it; over all blocks that is at most half of what an n-gram needs.
-        lost = int(epsilon / 2 * len(tokens))
-        order, key, count = [np.zeros(1, np.int32)], [np.zeros(1, np.int64)], [np.array([lost])]
-        for n, grams in zip((2, 3), _grams(shared.value.index(tokens), first)):
-            found, counts = np.unique(grams, return_counts=True)
-            kept = counts > lost
-            order.append(np.full(kept.sum(), n, np.int32))
-            key.append(found[kept])
-            count.append(counts[kept])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (order, key, count)], ["n", "key", "c"])
-
-    schema = "n int, key bigint, c bigint"
-    sums = written(_counted(texts, lossy, schema, limit).groupBy("n", "key").agg(F.sum("c").alias("c")), "gram-candidates")
-    lost = (sums.where("n = 0").first() or {"c": 0})["c"]
-    candidates = {n: _column(sums.where((F.col("n") == n) & (F.col("c") + lost >= epsilon * total)).select("key"), "key") for n in (2, 3)}
-    candidates = spark.sparkContext.broadcast({n: np.sort(keys) for n, keys in candidates.items()})
-
-    def exact(tokens, first):
-        order, key, count = [], [], []
-        for n, grams in zip((2, 3), _grams(shared.value.index(tokens), first)):
-            keys = candidates.value[n]
-            if not len(keys):
-                continue
-            at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
-            counts = np.bincount(at[keys[at] == grams], minlength=len(keys))
-            met = np.flatnonzero(counts)
-            order.append(np.full(len(met), n, np.int32))
-            key.append(keys[met])
-            count.append(counts[met])
-        arrays = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((order, np.int32), (key, np.int64), (count, np.int64))]
-        return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["n", "key", "c"])
-
-    found = written(_counted(texts, exact, schema, limit).groupBy("n", "key").agg(F.sum("c").alias("c")).where(F.col("c") >= epsilon * total), "grams")
-    out = {}
-    for n in (2, 3):
-        rows = found.where(F.col("n") == n).select("key", "c").toArrow().combine_chunks()
-        keys, counts = rows["key"].to_numpy(), rows["c"].to_numpy()
-        order = np.argsort(keys)
-        out[n] = (keys[order], counts[order])
-    return out
-
-
-def _column(df: DataFrame, name: str) -> np.ndarray:
-    return df.toArrow()[name].to_numpy()
-
-
-@dataclass
-class Automaton:
-    """States: 0 is the empty suffix, then a state per frequent word, then one per frequent bigram.
-
-    ``arcs`` are ascending keys ``state << 20 | word`` with log10 probabilities and the state that they lead to; ``fail`` and ``backoff`` hold the
-    failure arc of every state and its log10 weight.  The empty suffix has an arc for every frequent word.
-    """
+def _asked(texts: DataFrame, parts: int) -> DataFrame:
+    """Per block, order (``kind``) and range (``part``) of hashes: ``a`` the distinct n-grams' keys, ``b`` their counts in the block's training texts."""
 
-    words: Words
-    arcs: np.ndarray
-    logp: np.ndarray
-    target: np.ndarray
-    fail: np.ndarray
-    backoff: np.ndarray
-
-    def steps(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """State and log10 probability after reading a word (-1: a rare one, whose own probability is left out)."""
-        score = np.zeros(len(state))
-        out = np.zeros(len(state), np.int64)
-        open_ = np.arange(len(state))
-        while len(open_):
-            at_state, w = state[open_], word[open_]
-            key = (at_state << _WORD_BITS) | w
-            at = np.minimum(np.searchsorted(self.arcs, key), max(0, len(self.arcs) - 1))
-            hit = (w >= 0) & (self.arcs[at] == key) if len(self.arcs) else np.zeros(len(open_), bool)
-            score[open_[hit]] += self.logp[at[hit]]
-            out[open_[hit]] = self.target[at[hit]]
-            ends = ~hit & (at_state == 0)  # a rare word at the empty suffix
-            back = ~hit & ~ends
-            score[open_[back]] += self.backoff[at_state[back]]
-            state[open_[back]] = self.fail[at_state[back]]
-            open_ = open_[back]
-        return out, score
-
-    def traverse(self, index: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Log10 probability of every row of word numbers, without the rare words' own.
-
-        Rows are read side by side, word by word.  A long row is read in stretches side by side too: the state at a cut is the one that the two
-        words before it lead to, as no state is longer than that.
-        """
-        counts = np.diff(first)
-        stretches = -(-counts // STRETCH)
-        row = np.repeat(np.arange(len(counts)), stretches)
-        place = (np.arange(len(row)) - np.repeat(np.cumsum(stretches) - stretches, stretches)) * STRETCH
-        length = np.minimum(counts[row] - place, STRETCH)
-        order = np.argsort(-length, kind="stable")
-        start, length, cut = (first[:-1][row] + place)[order], length[order], np.flatnonzero(place[order])
-        state, score = np.zeros(len(row), np.int64), np.zeros(len(row))
-        for back in (2, 1):
-            state[cut], _ = self.steps(state[cut], index[start[cut] - back])
-        ascending = length[::-1]
-        for step in range(int(length.max(initial=0))):
-            n = len(length) - int(np.searchsorted(ascending, step, "right"))  # stretches that have a word left
-            state[:n], gained = self.steps(state[:n].copy(), index[start[:n] + step])
-            score[:n] += gained
-        return np.bincount(row[order], weights=score, minlength=len(counts))
-
-
-def unigram(c, total: int, vocabulary: int):
-    """Log10 of the base probability of a token that occurs ``c`` times."""
-    return np.log10((c + 0.5) / (total + 0.5 * (vocabulary + 1)))
-
-
-def estimated_discount(counts: np.ndarray) -> float:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, *row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                tokens, first = _block_read(*row[:3])
+                trains = np.repeat(_unpacked(row[3], np.uint8) ^ 1, np.diff(first)).astype(np.uint64)
+                at, keys = _grams(tokens, first)
+                for order in (1, 2, 3):
+                    flagged = np.sort(keys[order] | trains[at[order]])
+                    if not len(flagged):
+                        continue
+                    found = flagged & ~np.uint64(1)
+                    starts = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+                    found, counts = found[starts], np.add.reduceat(flagged & np.uint64(1), starts).astype(np.int32)
+                    cuts = _cuts(found, parts)
+                    some = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
+                    slices = [slice(cuts[p], cuts[p + 1]) for p in some]
+                    columns = [pa.array(np.full(len(some), order, np.int32)), pa.array(np.full(len(some), number)), pa.array(some, pa.int32()),
+                               pa.array([_packed(found[x], True) for x in slices], pa.binary()), pa.array([_packed(counts[x]) for x in slices], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["kind", "block", "part", "a", "b"])
+
+    return texts.mapInArrow(scan, "kind int, block bigint, part int, a binary, b binary")
+
+
+def _told(requests: DataFrame) -> DataFrame:
+    """Per request: ``a`` the count over all training texts of each key, ``b`` whether the block owns it; and the range's sums on one row."""
+
+    def answer(table: pa.Table) -> pa.Table:
+        keys = [_unpacked(x.as_py(), np.uint64, True) for x in table["a"]]
+        sizes = np.cumsum([0, *map(len, keys)])
+        counts = np.concatenate([_unpacked(x.as_py(), np.int32) for x in table["b"]]).astype(np.int64)
+        order, starts, inverse = _grouped(np.concatenate(keys))
+        total = np.add.reduceat(counts[order], starts)
+        owner = np.zeros(len(counts), np.uint8)
+        one = np.maximum.reduceat(np.where(counts[order] > 0, order, -1), starts)  # any request that has trained on it
+        owner[one[one >= 0]] = 1
+        told = total[inverse]
+        rows = range(len(keys))
+        sums = [total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum()]
+        columns = [table["kind"], table["block"], table["part"], pa.array([_packed(told[sizes[i] : sizes[i + 1]]) for i in rows], pa.binary()), pa.array([_packed(owner[sizes[i] : sizes[i + 1]]) for i in rows], pa.binary())]
+        return pa.table([*columns, *(pa.array([int(s)] + [0] * (len(keys) - 1), pa.int64()) for s in sums)], ["kind", "block", "part", "a", "b", "tokens", "types", "once", "twice"])
+
+    schema = "kind int, block bigint, part int, a binary, b binary, tokens bigint, types bigint, once bigint, twice bigint"
+    return requests.groupBy("kind", "part").applyInArrow(answer, schema)
+
+
+def discount(once: int, twice: int) -> float:
     """n1 / (n1 + 2 n2) of the n-grams that occur once and twice, within DISCOUNTS."""
-    once, twice = int((counts == 1).sum()), int((counts == 2).sum())
     return float(np.clip(once / max(1, once + 2 * twice), *DISCOUNTS))
 
 
-def compile_automaton(words: Words, grams: dict[int, tuple[np.ndarray, np.ndarray]], total: int, vocabulary: int) -> Automaton:
-    """Absolute discounting with backoff: what the arcs of a state leave goes to its failure arc, over what they leave of the shorter suffix."""
-    n = len(words.hashes)
-    mask = (1 << _WORD_BITS) - 1
-    two, c2 = grams[2]
-    three, c3 = grams[3]
-    states = 1 + n + len(two)
-    p1 = 10 ** unigram(words.counts, total, vocabulary)
-    head2, tail2 = two >> _WORD_BITS, two & mask
-    p2 = (c2 - estimated_discount(c2)) / words.counts[head2]
-    left, inner = three >> _WORD_BITS, three & ((1 << 2 * _WORD_BITS) - 1)
-    at_left, at_inner = np.searchsorted(two, left), np.searchsorted(two, inner)  # a frequent trigram's bigrams are frequent
-    p3 = (c3 - estimated_discount(c3)) / c2[at_left]
-    fail = np.zeros(states, np.int64)
-    fail[1 + n :] = 1 + tail2
-    used, below = np.zeros(states), np.zeros(states)
-    np.add.at(used, 1 + head2, p2)
-    np.add.at(below, 1 + head2, p1[tail2])
-    np.add.at(used, 1 + n + at_left, p3)
-    np.add.at(below, 1 + n + at_left, p2[at_inner])
-    backoff = np.log10(np.maximum(1 - used, 1e-12) / np.maximum(1 - below, 1e-12))
-    arcs = np.concatenate([np.arange(n), ((1 + head2) << _WORD_BITS) | tail2, ((1 + n + at_left) << _WORD_BITS) | (three & mask)])
-    logp = np.log10(np.concatenate([p1, p2, p3]))
-    target = np.concatenate([1 + np.arange(n), 1 + n + np.arange(len(two)), 1 + n + at_inner])
-    order = np.argsort(arcs, kind="stable")
-    return Automaton(words, arcs[order], logp[order], target[order], fail, backoff)
-
-
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", epsilon: float = EPSILON, block: int = BLOCK_TOKENS) -> DataFrame:
+def _read(texts: DataFrame, told: DataFrame, least: float, off: dict[int, float], denominator: float) -> DataFrame:
+    """What blocks read, by kind.
+
+    0: per row of a block ``x``, ``y`` (base score, score without failure arcs) and ``n`` known words.  1: per row and history that it fails from, ``n``
+    times; ``u``, ``l`` are the counts of the history and of its shorter suffix (0: none).  2: per history, of the n-grams that the block owns:
+    ``n`` of them, ``u`` the sum of their counts, ``l`` of the counts of what they are without the first word.
+    """
+
+    def read(table: pa.Table) -> pa.Table:
+        kinds = table["kind"].to_numpy()
+        block = table["block"][0].as_py()
+
+        def blob(row, column, dtype):
+            return _unpacked(table[column][int(row)].as_py(), dtype)
+
+        text = int(np.flatnonzero(kinds == 0)[0])
+        tokens, first = _block_read(*(table[c][text].as_py() for c in "abc"))
+        at, keys = _grams(tokens, first)
+        parts, count, own = table["part"].to_numpy(), {}, {}
+        for order in (1, 2, 3):
+            rows = np.flatnonzero(kinds == order)
+            rows = rows[np.argsort(parts[rows])]
+            where, starts, inverse = _grouped(keys[order])
+            totals = np.concatenate([np.zeros(0, np.int64), *(blob(r, "a", np.int64) for r in rows)])
+            mine = np.concatenate([np.zeros(0, np.uint8), *(blob(r, "b", np.uint8) for r in rows)]).astype(bool)
+            count[order] = np.zeros(len(tokens), np.int64)
+            count[order][at[order]] = totals[inverse]
+            own[order] = at[order][where[starts[mine & (totals >= least)]]]
+        key = {1: keys[1], 2: np.zeros(len(tokens), np.uint64)}
+        key[2][at[2]] = keys[2]
+        c1, c2, c3 = (count[n] for n in (1, 2, 3))
+        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        base = np.log10((c1 + 0.5) / denominator)
+        gain = base.copy()
+        two, three = at[2][c2[at[2]] >= least], at[3][c3[at[3]] >= least]
+        gain[two] = np.log10((c2[two] - off[2]) / c1[two - 1])
+        gain[three] = np.log10((c3[three] - off[3]) / c2[three - 1])
+        n = len(first) - 1
+
+        def total(values):
+            return np.bincount(row, weights=values, minlength=n)
+
+        out = [dict(kind=np.zeros(n), _at=np.arange(n), key=np.zeros(n), x=total(base), y=total(gain), n=total(c1 > 0), u=np.zeros(n), l=np.zeros(n))]
+        miss3 = at[3][c3[at[3]] < least]
+        miss2 = at[2][(c2[at[2]] < least) & (c3[at[2]] < least)]
+        for order, fails in ((2, miss3[c2[miss3 - 1] >= least]), (1, miss2[c1[miss2 - 1] >= least])):
+            rows, names = row[fails], key[order][fails - 1]
+            sort = np.lexsort((names, rows))
+            new = np.ones(len(sort), bool)
+            new[1:] = (rows[sort][1:] != rows[sort][:-1]) | (names[sort][1:] != names[sort][:-1])
+            where, times = sort[new], np.diff(np.append(np.flatnonzero(new), len(sort)))
+            state = fails[where] - 1
+            none = np.zeros(len(state))
+            out.append(dict(kind=none + 1, _at=rows[where], key=names[where].view(np.int64), x=none, y=none, n=times, u=count[order][state], l=c1[state] if order == 2 else none))
+        for order in (2, 3):
+            ends = own[order]
+            names = key[order - 1][ends - 1]
+            sort, starts, _ = _grouped(names)
+            none = np.zeros(len(starts))
+            sums = [np.add.reduceat(c[ends][sort], starts) if len(starts) else none for c in (count[order], count[order - 1])]
+            out.append(dict(kind=none + 2, _at=none, key=names[sort[starts]].view(np.int64), x=none, y=none, n=np.diff(np.append(starts, len(sort))), u=sums[0], l=sums[1]))
+        types = dict(kind=np.int32, _at=np.int64, key=np.int64, x=np.float64, y=np.float64, n=np.int64, u=np.int64, l=np.int64)
+        columns = {name: pa.array(np.concatenate([o[name].astype(t) for o in out])) for name, t in types.items()}
+        return pa.table({"block": pa.array(np.full(len(columns["n"]), block)), **columns})
+
+    payload = texts.select(F.lit(0).alias("kind"), "block", F.lit(0).alias("part"), "a", "b", "c")
+    answers = told.select("kind", "block", "part", "a", "b", F.lit(None).cast("binary").alias("c"))
+    schema = "block bigint, kind int, _at bigint, key bigint, x double, y double, n bigint, u bigint, l bigint"
+    return payload.unionByName(answers).groupBy("block").applyInArrow(read, schema)
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", epsilon: float = 0.0, block: int = BLOCK_TOKENS) -> DataFrame:
     """Per document: ``id_col``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
     Tokens are runs of other than ASCII white space, after lower-casing A-Z, then one end.  A null text is empty: the end alone.  The model
     learns from the documents that :func:`held_out` doesn't keep back; without any, every token has probability 1.  Rows may repeat; other
-    columns are ignored.
+    columns are ignored.  With an ``epsilon``, which is for experiments, the model is only the n-grams with that share of all training tokens, and
+    its discounts are estimated from those.
     """
-    spark = docs.sparkSession
-    text = F.col(text_col).cast("string")
-    training = docs.where(~held_out(id_col)).select(text)
-    counts = written(word_counts(training, block), "word-counts")
-    total, vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    rows = counts.where(F.col("c") >= epsilon * total).toArrow()  # at most 1 / epsilon words
-    hashes = rows["word"].to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    words = Words(hashes[order], rows["c"].to_numpy()[order])
-    automaton = compile_automaton(words, frequent_grams(training, words, total, epsilon, block), total, vocabulary)
-    shared = spark.sparkContext.broadcast(automaton)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, model = TaskContext.get().partitionId() << 40, shared.value
-        logs = unigram(model.words.counts, total, vocabulary)
-        for batch in batches:
-            for part in blocks(batch.column(2), limit=SCORE_BYTES):
-                tokens, first = block_tokens(part)
-                index = model.words.index(tokens)
-                known = np.concatenate([[0], np.cumsum(index >= 0)])
-                base = np.concatenate([[0.0], np.cumsum(np.where(index >= 0, logs[index] if len(logs) else 0.0, 0.0))])
-                rare = np.flatnonzero(index < 0)
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, first).astype(np.int32)), pa.array(tokens[rare].view(np.int64)))
-                columns = [batch.column(0).slice(part.first, part.rows), batch.column(1).slice(part.first, part.rows), pa.array(row + np.arange(part.rows)), pa.array(np.diff(first)),
-                           pa.array(np.diff(known[first])), pa.array(np.diff(base[first])), pa.array(model.traverse(index, first)), lists]
-                row += part.rows
-                yield pa.RecordBatch.from_arrays(columns, ["_id", "held_out", "_row", "n_tokens", "_known", "_base", "_score", "_rare"])
-
-    id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"_id {id_type}, held_out boolean, _row bigint, n_tokens bigint, _known bigint, _base double, _score double, _rare array<bigint>"
-    scored = written(map_batches(docs.select(F.col(id_col), held_out(id_col), text), scan, schema), "lm-scores")
-    rare = scored.select("_row", F.explode("_rare").alias("word")).join(counts.where(F.col("c") < epsilon * total), "word", "left")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
+    held = written(_blocks(docs, id_col, text_col, block), "lm-blocks")
+    texts = held.where("_at IS NULL").select("block", "a", "b", "c", "d")
+    told = written(_told(_asked(texts, 1 + size // RANGE_BYTES)), "lm-counts")
+    sums = {r["kind"]: r for r in told.groupBy("kind").agg(*(F.sum(c).alias(c) for c in ("tokens", "types", "once", "twice"))).collect()}
+    total, vocabulary = (sums[1]["tokens"], sums[1]["types"]) if sums else (0, 0)
+    least = max(1.0, epsilon * total)
+    off = {n: discount(sums[n]["once"] if least <= 1 else 0, sums[n]["twice"] if least <= 2 else 0) if n in sums else DISCOUNTS[0] for n in (2, 3)}
     denominator = float(total + 0.5 * (vocabulary + 1))
-    c = F.coalesce("c", F.lit(0))
-    rare = rare.groupBy("_row").agg(F.sum(F.log10((c + 0.5) / denominator)).alias("_rare_score"), F.sum((c > 0).cast("bigint")).alias("_rare_known"))
-    out = scored.drop("_rare").join(rare, "_row", "left")
-    extra = F.coalesce("_rare_score", F.lit(0.0))
-    return out.select(F.col("_id").alias(id_col), "held_out", "n_tokens", (F.col("_known") + F.coalesce("_rare_known", F.lit(0))).alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"),
-                      (F.col("_base") + extra).alias("base_score"), (F.col("_score") + extra).alias("score"))
+    found = written(_read(texts, told, least, off, denominator), "lm-scores")
+
+    fails = found.where("kind = 1").select("block", "_at", "key", "n", "u", "l")
+    arcs = marked(found.where("kind = 2").select("key", "n", "u", "l"), bitmap_of(fails, F.col("key")), F.col("key"), "_m").where("_m")
+    arcs = arcs.groupBy("key").agg(*(F.sum(c).alias(f"_{c}") for c in "nul"))
+    # Joined by a second expression of the key too: both sides are exchanged, and adaptive execution can split a frequent history.
+    met = fails.withColumn("_again", F.xxhash64("key")).join(arcs.withColumn("_again", F.xxhash64("key")), ["key", "_again"])
+    long = F.col("l") > 0
+    used = (F.col("_u") - F.when(long, off[3]).otherwise(off[2]) * F.col("_n")) / F.col("u")
+    below = F.when(long, (F.col("_l") - off[2] * F.col("_n")) / F.col("l")).otherwise((F.col("_l") + 0.5 * F.col("_n")) / denominator)
+    weight = F.log10(F.greatest(1 - used, F.lit(1e-12)) / F.greatest(1 - below, F.lit(1e-12)))
+    back = met.groupBy("block", "_at").agg(F.sum(weight * F.col("n")).alias("_back"))
+    read = found.where("kind = 0").select("block", "_at", "x", "y", F.col("n").alias("n_known"))
+    out = held.where("_at IS NOT NULL").select("_id", "held_out", "_at", "n_tokens", "block").join(read, ["block", "_at"]).join(back, ["block", "_at"], "left")
+    return out.select(F.col("_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), F.col("x").alias("base_score"), (F.col("y") + F.coalesce("_back", F.lit(0.0))).alias("score"))

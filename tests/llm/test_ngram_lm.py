@@ -109,3 +109,22 @@ def test_lossy_candidates_lose_nothing(spark):
 def test_held_out_texts_gain_from_histories(spark):
     rows = ngram_lm.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
     assert len(rows) > 100 and np.mean([r["score"] - r["base_score"] for r in rows]) > 0
+
+
+def large_rows():
+    """Given documents and a training text that alone has 2.5 million tokens: a share of 1e-6 is more than two occurrences."""
+    rows = [(r["doc_id"], r["text"]) for r in pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()]
+    filler = next(i for i in range(10**6, 10**6 + 50) if zlib.crc32(str(i).encode()) % 5 != 1)
+    return [*rows, (filler, "x " * 2_500_000)]
+
+
+def test_rare_ngrams_stay_in_large_corpora(spark):
+    rows = large_rows()
+    want, *_ = brute(rows, 0)
+    got = {}
+    for r in ngram_lm.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        got.setdefault(r["doc_id"], []).append(tuple(r)[1:])
+    assert set(got) == set(want)
+    for i in want:
+        for a, b in zip(sorted(got[i]), sorted(want[i]), strict=True):
+            assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], rel=1e-9)
