@@ -128,3 +128,25 @@ def test_rare_ngrams_stay_in_large_corpora(spark):
     for i in want:
         for a, b in zip(sorted(got[i]), sorted(want[i]), strict=True):
             assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], rel=1e-9)
+
+
+def test_discounts_are_those_of_all_ngrams_in_large_corpora(spark):
+    """Text of 2.5 million tokens: what is taken off follows from the n-grams that occur once and twice, not from the bounds."""
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(words), " ".join(words[:60]), "x " * 2_500_000, " ".join(words[:20])]
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 != 1]
+    rows = list(zip(ids, texts))
+    train = [tokens(t) for _, t in rows]
+    c = {n: Counter(tuple(x[j : j + n]) for x in train for j in range(len(x) - n + 1)) for n in (1, 2, 3)}
+    off = {}
+    for n in (2, 3):
+        once, twice = (sum(k == m for k in c[n].values()) for m in (1, 2))
+        off[n] = once / (once + 2 * twice)
+        assert ngram_lm.DISCOUNTS[0] < off[n] < ngram_lm.DISCOUNTS[1]
+    assert sum(c[1].values()) > 2_500_000
+    got = {r["doc_id"]: r["score"] for r in ngram_lm.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    total, vocabulary = sum(c[1].values()), len(c[1])
+    for i, x in zip(ids, train):
+        want = math.log10((c[1][(x[0],)] + 0.5) / (total + 0.5 * (vocabulary + 1))) + math.log10((c[2][(x[0], x[1])] - off[2]) / c[1][(x[0],)])
+        want += sum(math.log10((c[3][tuple(x[j - 2 : j + 1])] - off[3]) / c[2][tuple(x[j - 2 : j])]) for j in range(2, len(x)))
+        assert got[i] == pytest.approx(want, rel=1e-9)
