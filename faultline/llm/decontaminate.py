@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from faultline.llm.common import map_batches, written
-from faultline.llm.marks import BITS, bitmap_of, without
+from faultline.llm.marks import BITS, bitmap_of, row_key, without
 from faultline.llm.words import LETTERS, Block, blocks, mix, runs
 
 SPAN, GRAM = 10, 5
@@ -170,4 +170,6 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents without any shared window, with all their columns."""
-    return without(docs, written(contamination(docs, items, id_col, text_col, **options).where("contaminated").select(id_col), "contaminated"), id_col)
+    rows = docs.select(row_key(id_col, text_col).alias("_row"), F.col(text_col).alias("_text"))
+    found = contamination(rows, items, "_row", "_text", **options).where("contaminated")
+    return without(docs, written(found.select("_row"), "contaminated"), id_col, text_col)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.common import lower_ascii, written
-from faultline.llm.marks import bitmap_of, marked, without
+from faultline.llm.marks import bitmap_of, marked, row_key, without
 
 PREFIX_CHARS = 256
 
@@ -51,4 +51,5 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that :func:`exact_groups` keeps, with all their columns."""
-    return without(docs, exact_groups(docs, id_col, text_col).where(~F.col("kept")), id_col)
+    groups = exact_groups(docs, id_col, text_col, carry=[row_key(id_col, text_col).alias("_row")])
+    return without(docs, groups.where(~F.col("kept")).select("_row"), id_col, text_col)

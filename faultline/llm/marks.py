@@ -29,11 +29,21 @@ def marked(df: DataFrame, bitmap: DataFrame, key: Column, out: str) -> DataFrame
     return rows.withColumn(out, set_).drop("_bucket", "_bits", "_byte", "_place")
 
 
-def without(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` without the rows whose id is in ``dropped``; only rows that may be dropped are shuffled."""
+def row_key(id_col: str, text_col: str) -> Column:
+    """What a decision about a document is kept by: its id, null or not, and 128 bits of hash of the text that the decision was made on."""
+    text = F.col(text_col).cast("string")
+    return F.struct(F.col(id_col).alias("id"), text.isNull().alias("none"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the rows whose :func:`row_key` is the only column of ``dropped``; only rows that may be dropped are shuffled.
+
+    Rows that share an id, or have none, go by their own text each.
+    """
     columns = docs.columns
-    gone = dropped.select(F.col(id_col).alias("_gone"))
-    rows = marked(docs, bitmap_of(gone, F.xxhash64("_gone")), F.xxhash64(id_col), "_maybe")
+    gone = dropped.toDF("_gone")
+    rows = docs.withColumn("_row", row_key(id_col, text_col))
+    rows = marked(rows, bitmap_of(gone, F.xxhash64("_gone")), F.xxhash64("_row"), "_maybe")
     stay = rows.where(~F.col("_maybe")).select(*columns)
-    maybe = rows.where("_maybe").select(*columns)
-    return stay.unionByName(maybe.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti"))
+    maybe = rows.where("_maybe").select(*columns, "_row")
+    return stay.unionByName(maybe.join(gone, F.col("_row").eqNullSafe(F.col("_gone")), "left_anti").select(*columns))

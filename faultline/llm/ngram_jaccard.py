@@ -13,7 +13,7 @@ candidates, and then has to share l of them; a pair is verified on its whole set
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from faultline.llm.common import map_batches, written
 from faultline.llm.components import component_labels
-from faultline.llm.marks import bitmap_of, marked, without
+from faultline.llm.marks import bitmap_of, marked, row_key, without
 from faultline.llm.words import Block, blocks, mix, shingles
 
 WORDS, PERCENT = 5, 80
@@ -138,8 +138,8 @@ def _prefixes(found: np.ndarray, rows: np.ndarray, counts: np.ndarray, level: np
     return matches, unique, found[inside], np.searchsorted(rows[inside], np.arange(n + 1))
 
 
-def prefixes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """A written table with, per document: ``_id``, ``n`` shingles, ``cid`` (the name of its set, null if empty), ``l``, ``head``, ``prefix`` (its shared shingles)."""
+def prefixes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, carry: Sequence = ()) -> DataFrame:
+    """A written table with, per document: ``_id``, ``n`` shingles, ``cid`` (the name of its set, null if empty), ``l``, ``head``, ``prefix`` (its shared shingles), ``_carry``."""
     table = docs.sparkSession.sparkContext.broadcast(rarity_table(docs, text_col, k))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,11 +149,13 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int)
                 counts, names = _set_ids(found, rows, block.rows)
                 matches, head, shared, edges = _prefixes(found, rows, counts, _levels(table.value, found), percent)
                 lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(shared.view(np.int64)))
-                columns = [batch.column(0).slice(block.first, block.rows), pa.array(counts), pa.array(names, mask=counts == 0), pa.array(matches.astype(np.int32)), pa.array(head.astype(np.int32)), lists]
-                yield pa.RecordBatch.from_arrays(columns, ["_id", "n", "cid", "l", "head", "prefix"])
+                columns = [batch.column(0).slice(block.first, block.rows), pa.array(counts), pa.array(names, mask=counts == 0), pa.array(matches.astype(np.int32)), pa.array(head.astype(np.int32)), lists, batch.column(2).slice(block.first, block.rows)]
+                yield pa.RecordBatch.from_arrays(columns, ["_id", "n", "cid", "l", "head", "prefix", "_carry"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    found = map_batches(docs.select(F.col(id_col), F.col(text_col).cast("string")), scan, f"_id {id_type}, n bigint, cid bigint, l int, head int, prefix array<bigint>")
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string"), F.struct(F.lit(0).alias("_none"), *carry).alias("_carry"))
+    carried = rows.schema["_carry"].dataType.simpleString()
+    found = map_batches(rows, scan, f"_id {id_type}, n bigint, cid bigint, l int, head int, prefix array<bigint>, _carry {carried}")
     found = written(found, "shingle-prefixes")
     table.destroy()
     return found
@@ -191,15 +193,15 @@ def _possible(n_a: str, at_a: str, n_b: str, at_b: str, percent: int):
     return (F.least(a - i, b - j) * (100 + percent) >= (a + b) * percent) & (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Per document: ``id_col``, ``n_shingles``, ``cid`` (name of its class, null if its set is empty), ``component_id``.
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT, carry: Sequence = ()) -> DataFrame:
+    """Per document: ``id_col``, ``n_shingles``, ``cid`` (name of its class, null if its set is empty), ``component_id``, the ``carry`` columns.
 
     Words are runs of other than ASCII white space, after lower-casing A-Z; a set holds a text's distinct ``k``-word shingles, or its whole
     sequence if it has fewer words.  Sets are linked when ``100 * shared >= percent * all``.  ``component_id`` is the smallest id that links
     lead to; a text without words is alone.  Ids may repeat: equal texts of one id are one document in effect.  Null ids take part and
     count as no id, so a component of only such rows has a null id.  Other columns are ignored.
     """
-    members = prefixes(docs, id_col, text_col, k, percent)
+    members = prefixes(docs, id_col, text_col, k, percent, carry)
     some = members.where("cid IS NOT NULL")
     classes = written(some.groupBy("cid").agg(F.min("_id").alias("least"), F.first("n").alias("n"), F.first("l").alias("l"), F.first("head").alias("head"), F.first("prefix").alias("prefix")), "shingle-classes")
 
@@ -240,12 +242,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_class = of_class.join(joined, "part", "left").select("cid", "least", F.coalesce("whole", "part").alias("label"))
     ids = of_class.groupBy("label").agg(F.min("least").alias("component_id"))
     of_class = written(of_class.join(ids, "label").select("cid", "component_id"), "shingle-components")
-    found = some.select("_id", "n", "cid").join(of_class, "cid").select("_id", "n", "cid", "component_id")
-    alone = members.where("cid IS NULL").select("_id", "n", "cid", F.col("_id").alias("component_id"))
-    return found.unionByName(alone).select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "cid", "component_id")
+    found = some.select("_id", "n", "cid", "_carry").join(of_class, "cid").select("_id", "n", "cid", "component_id", "_carry")
+    alone = members.where("cid IS NULL").select("_id", "n", "cid", F.col("_id").alias("component_id"), "_carry")
+    return found.unionByName(alone).select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "cid", "component_id", "_carry.*").drop("_none")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Of every component the document of the smallest id, with all columns; null ids stay."""
-    gone = near_components(docs, id_col, text_col, k, percent).where(F.col(id_col) != F.col("component_id"))
-    return without(docs, written(gone.select(id_col), "near-copies"), id_col)
+    found = near_components(docs, id_col, text_col, k, percent, carry=[row_key(id_col, text_col).alias("_row")])
+    gone = found.where(F.col(id_col) != F.col("component_id"))
+    return without(docs, written(gone.select("_row"), "near-copies"), id_col, text_col)
