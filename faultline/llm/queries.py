@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import decontaminate, exact_dedup, ngram_jaccard, ngram_lm, packing, sharding, token_counts, toxicity, url_rules, warc
-from faultline.llm.common import lower_ascii, shared_folder, tokenizer_path
+from faultline.llm import conversation_trie, cross_polytope, decontaminate, exact_dedup, hard_negatives, ngram_jaccard, ngram_lm, packing, sharding, token_counts, toxicity, url_rules, warc
+from faultline.llm.common import lower_ascii, shared_folder, tokenizer_path, written
 from faultline.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,55 @@ def op5(spark, sf_dir):
 @query("op3_backoff_lm")
 def op3(spark, sf_dir):
     return ngram_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+# Unsigned CRC-32 of a decimal: the bytes in order, each followed by eight steps of one bit.
+CRC_SQL = """list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(c::VARCHAR, ''), lambda ch: list_prepend(ascii(ch)::BIGINT, [-1, -1, -1, -1, -1, -1, -1, -1])))),
+    lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)"""
+EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+@query("op11_conversation_trie", sql=f"""
+    WITH o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS place,
+                      coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    m AS (SELECT c, c - c % 20 AS base, xor({CRC_SQL}, 4294967295) % 4 AS h FROM (SELECT DISTINCT c FROM o)),
+    x AS (SELECT m.c, o.place, role, text FROM m JOIN o ON o.c = base AND o.place <= h
+          UNION ALL SELECT m.c, o.place + 1000000, role, text FROM m JOIN o ON o.c = m.c AND o.place > h),
+    t AS (SELECT c, row_number() OVER w AS d, list(sha256(role || chr(1) || text)) OVER w AS path, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words
+          FROM x WINDOW w AS (PARTITION BY c ORDER BY place ROWS UNBOUNDED PRECEDING)),
+    p AS (SELECT c, d, array_to_string(path, '') AS path, words FROM t UNION ALL SELECT c, 0, '', 0 FROM m),
+    n AS (SELECT d AS depth, path, min(c) AS conv_id, count(*) AS n_convs, max(words) AS words FROM p GROUP BY d, path),
+    k AS (SELECT a.*, b.conv_id AS parent_conv_id FROM n a LEFT JOIN n b ON b.depth = a.depth - 1 AND b.path = left(a.path, 64 * (a.depth - 1)::INT)),
+    f AS (SELECT k.*, (SELECT count(*) FROM n z WHERE z.depth = k.depth + 1 AND left(z.path, 64 * k.depth::INT) = k.path) AS n_children FROM k),
+    s AS (SELECT a.depth, a.conv_id, count(*) FILTER (WHERE z.n_children = 0) AS n_leaves, sum((z.n_convs - 1) * z.words)::BIGINT AS saved_tokens
+          FROM f a JOIN f z ON z.depth >= a.depth AND left(z.path, 64 * a.depth::INT) = a.path GROUP BY a.depth, a.conv_id),
+    e AS (SELECT depth, conv_id, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS ends_sha256
+          FROM (SELECT c, max(d) AS depth, max(path) AS path FROM p GROUP BY c) JOIN n USING (depth, path) GROUP BY depth, conv_id)
+    SELECT f.conv_id, f.depth, f.parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, coalesce(ends_sha256, '{EMPTY_SHA256}') AS ends_sha256
+    FROM f JOIN s USING (depth, conv_id) LEFT JOIN e USING (depth, conv_id)""")
+def op11(spark, sf_dir):
+    turns = written(conversation_trie.ordered_turns(table(spark, sf_dir, "conversations")), "turns")
+    nodes, ends = conversation_trie.conversation_trie(*conversation_trie.with_shared_heads(turns))
+    out = nodes.join(conversation_trie.ends_digest(ends), ["depth", "conv_id"], "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.lit(EMPTY_SHA256)))
+    return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+@query("op12_cross_polytope_search")
+def op12(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    out = cross_polytope.nearest_neighbours(rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), rows, k=5)
+    return out.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query("op13_hard_negatives", sql="""
+    WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+               FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.id AS anchor_id, b.id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.id <> b.id WHERE a.id % 100 = 0),
+    p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+    SELECT anchor_id, positive_id, row_number() OVER w::INT AS rank, id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 10""")
+def op13(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.select(F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("vector")), F.col("id") % 100 == 0)
