@@ -9,7 +9,7 @@ from checks.lines import q
 from checks.logview import LINES_SQL, event_lines
 from checks.temporal import rounded
 from faultline.operators import browser, crash
-from faultline.rules import formats
+from faultline.rules import formats, vocab
 from faultline.sources import traces
 
 # A crash per order: a maps section and a backtrace, one entry per order line.
@@ -131,14 +131,47 @@ def kernel_lines(spark, sf):
     return event_lines(spark, sf).withColumn("line", F.expr(_KERNEL))
 
 
-@check("g4_parse_oops")
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_KIND = "CASE " + " ".join(f"WHEN regexp_matches(line, {q(regex)}) THEN {{}}".format(q(name)) for name, regex in formats.OOPS_SIGNATURES) + " END"
+_ADDRESS = "CASE " + " ".join(f"WHEN regexp_matches(line, {q(regex)}) THEN regexp_extract(line, {q(regex)}, 1)" for _, regex in formats.OOPS_SIGNATURES) + " END"
+_SUBSYSTEM = "CASE " + " ".join("WHEN len(list_filter(call_trace, lambda x: " + " OR ".join(f"contains(lower(x), {q(n)})" for n in needles) + f")) > 0 THEN {q(name)}"
+                                for name, needles in vocab.SUBSYSTEMS) + " ELSE 'UNKNOWN' END"
+
+
+def oops_sql(source: str) -> str:
+    """Recursive walk over the signatures of each log; the common table expressions end in ``oops``."""
+    return f"""sg AS (SELECT log_id, line_no AS start, {_KIND} AS oops_type, {_ADDRESS} AS address FROM {source} WHERE {_KIND} IS NOT NULL),
+bl AS (SELECT s.log_id, s.start, list(k.line ORDER BY k.line_no) AS l FROM sg s JOIN {source} k ON k.log_id = s.log_id AND k.line_no BETWEEN s.start AND s.start + 49 GROUP BY ALL),
+px AS (SELECT *, nullif(regexp_extract(list_filter(l, lambda x: regexp_matches(x, {q(formats.OOPS_PC)}) AND NOT regexp_matches(x, {q(formats.OOPS_PC_SKIP)}))[1], {q(formats.OOPS_PC)}, 1), '') AS pc,
+  regexp_extract(list_filter(l, lambda x: regexp_matches(x, {q(formats.OOPS_TAINTED)}))[1], {q(formats.OOPS_TAINTED)}, 1) AS flags,
+  list_position(list_transform(l, lambda x: regexp_matches(x, {q(formats.OOPS_TRACE_START)})), true) AS opened FROM bl),
+af AS (SELECT *, CASE WHEN opened > 0 THEN l[opened + 1:] ELSE [] END AS aft FROM px),
+ef AS (SELECT *, list_position(list_transform(aft, lambda x: trim(x, {_BLANKS}) = '' OR contains(x, '---') OR contains(x, 'Unable to handle')), true) AS e FROM af),
+tc AS (SELECT *, list_transform(list_filter(CASE WHEN e > 0 THEN aft[:e - 1] ELSE aft END, lambda x: NOT regexp_matches(x, {q(formats.OOPS_TRACE_START)})),
+  lambda x: CASE WHEN regexp_matches(x, {q(formats.OOPS_TRACE_LINE)}) THEN regexp_extract(x, {q(formats.OOPS_TRACE_LINE)}, 1) || '+0x' || regexp_extract(x, {q(formats.OOPS_TRACE_LINE)}, 2)
+    ELSE trim(x, {_BLANKS}) END) AS call_trace FROM ef),
+pr AS (SELECT *, pc IS NOT NULL OR oops_type IN ('KERNEL_PANIC', 'BUG') AS accepted FROM tc JOIN sg USING (log_id, start)),
+nx AS (SELECT a.log_id, a.start, min(b.start) AS nxt FROM pr a JOIN pr b ON b.log_id = a.log_id
+  AND b.start >= a.start + CASE WHEN a.accepted THEN least(len(a.call_trace) + 5, 15) ELSE 1 END GROUP BY ALL),
+wk AS (SELECT log_id, min(start) AS start FROM pr GROUP BY log_id UNION ALL SELECT wk.log_id, nxt FROM wk JOIN nx USING (log_id, start)),
+oops AS (SELECT log_id, start AS line_no, oops_type,
+  CASE WHEN regexp_matches(address, '^\\s*(0x)?[0-9a-fA-F]+\\s*$') THEN cast('0x' || regexp_replace(trim(address), '^0x', '') AS bigint) END AS faulting_address,
+  coalesce({hexv('pc')}, 0) AS instruction_pointer, array_to_string(call_trace, ' | ') AS call_trace, coalesce(trim(flags, {_BLANKS}) <> '', false) AS tainted,
+  try_cast(nullif(regexp_extract(l[1], '\\[\\s*(\\d+\\.\\d+)\\]', 1), '') AS double) AS uptime_seconds, {_SUBSYSTEM} AS subsystem
+  FROM pr JOIN wk USING (log_id, start) WHERE accepted)"""
+
+
+KERNEL_SQL = f"{LINES_SQL}, kl AS (SELECT log_id, line_no, {_KERNEL} AS line FROM lines), {oops_sql('kl')}"
+
+
+@check("g4_parse_oops", f"WITH RECURSIVE {KERNEL_SQL} SELECT * FROM oops")
 def g4(spark, sf):
     out = crash.parse_oops(kernel_lines(spark, sf))
     out = out.withColumn("call_trace", F.array_join("call_trace", " | "))
     return _ints(out, "faulting_address", "instruction_pointer")
 
 
-@check("e13_g5_subsystem_counts")
+@check("e13_g5_subsystem_counts", f"WITH RECURSIVE {KERNEL_SQL} SELECT subsystem, count(*) AS n FROM oops GROUP BY subsystem")
 def e13(spark, sf):
     return crash.subsystem_counts(crash.parse_oops(kernel_lines(spark, sf)))
 

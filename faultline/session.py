@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that can be changed on a running session.
 RUNTIME_CONF = {
@@ -56,3 +58,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     import tempfile
 
     context.setCheckpointDir(tempfile.mkdtemp(prefix="faultline-checkpoint-"))
+
+
+def materialized(df: DataFrame, what: str = "stage") -> DataFrame:
+    """The rows of ``df`` as a Parquet table in the shared folder.
+
+    Cuts the lineage where a result is read more than once or a loop goes on from it; a lost executor loses none of it, and what reads
+    it is planned with its true size.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
