@@ -209,14 +209,17 @@ def e8(spark, sf):
                       F.array_join("unique_error_types", ",").alias("unique_error_types"), "severity")
 
 
-@check("e20_root_cause_candidates", f"""WITH RECURSIVE {LINES_SQL}, {ENGINE_SQL}, {EV_SQL}, {INC_TYPE_SQL}, {TYPES_SQL}, {D5_SQL},
-  c3 AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY count DESC, error1, error2) AS r FROM tpairs),
+CAUSES_SQL = """c3 AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY count DESC, error1, error2) AS r FROM tpairs),
   al AS (SELECT log_id, 1 AS s, r AS place, 'Primary error: ' || error1 || ' causes ' || error2 AS text FROM c3
       WHERE r <= 3 AND least(count / 10, 1.0) >= 0.7
     UNION ALL SELECT log_id, 2, incident_no, 'Sustained incident (' || cast(round(duration_seconds, 0) AS bigint) || 's): ' || types[1]
       FROM tinc WHERE duration_seconds > 30
-    UNION ALL SELECT log_id, 3, position, 'Cascading failure: ' || array_to_string(chain, ' → ') FROM tcasc)
-  SELECT log_id, pos, text FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY s, place) AS pos FROM al) WHERE pos <= 5""")
+    UNION ALL SELECT log_id, 3, position, 'Cascading failure: ' || array_to_string(chain, ' → ') FROM tcasc),
+  causes AS (SELECT log_id, pos, text FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY s, place) AS pos FROM al) WHERE pos <= 5)"""
+
+
+@check("e20_root_cause_candidates", f"""WITH RECURSIVE {LINES_SQL}, {ENGINE_SQL}, {EV_SQL}, {INC_TYPE_SQL}, {TYPES_SQL}, {D5_SQL}, {CAUSES_SQL}
+  SELECT * FROM causes""")
 def e20(spark, sf):
     correlations = type_correlations(spark, sf)
     found = incidents.incidents_types(engine_lines(spark, sf))
