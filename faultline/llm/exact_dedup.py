@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.common import lower_ascii, written
-from faultline.llm.marks import bitmap_of, marked, row_key, without
+from faultline.llm.marks import bitmap_of, marked, row_key, surplus, without
 
 PREFIX_CHARS = 256
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence = ()) -> DataFrame:
-    """One row per document: ``id_col``, the ``carry`` columns, ``keep_id``, ``group_size``, ``kept``.
+    """One row per document: ``id_col``, the ``carry`` columns, ``keep_id``, ``group_size``, ``kept``, ``copies`` (names its group; null: alone).
 
     Texts are equal when identical after A-Z became a-z; a null text counts as empty.  Of equal texts the row with the largest id is kept.
     A row of a null id loses against every other; if all ids of a group are null, ``keep_id`` is null and its rows are kept.  Rows that
@@ -42,14 +42,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = same.groupBy("_full").agg(F.max("_id").alias("keep_id"), F.count("*").alias("group_size"))
     # Joined by a second expression of the key too: both sides are exchanged, and adaptive execution can split a large group.
     left, right = same.withColumn("_key", F.xxhash64("_full")), groups.withColumn("_key", F.xxhash64("_full"))
-    found = left.join(right, ["_key", "_full"]).select("_id", "_carry", "keep_id", "group_size")
-    alone = rows.where("_full IS NULL").select("_id", "_carry", F.col("_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"))
+    found = left.join(right, ["_key", "_full"]).select("_id", "_carry", "keep_id", "group_size", F.col("_full").alias("copies"))
+    alone = rows.where("_full IS NULL").select("_id", "_carry", F.col("_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(None).cast("binary").alias("copies"))
     out = found.unionByName(alone)
     kept = F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept")
-    return out.select(F.col("_id").alias(id_col), "_carry.*", "keep_id", "group_size", kept).drop("_none")
+    return out.select(F.col("_id").alias(id_col), "_carry.*", "keep_id", "group_size", kept, "copies").drop("_none")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that :func:`exact_groups` keeps, with all their columns."""
+    """One document of each group of equal texts, with all its columns: the one of the largest id.
+
+    A null id loses against every other; where rows share the id, or none has one, the hash of the text decides, and of rows that repeat
+    both id and text one stays.
+    """
     groups = exact_groups(docs, id_col, text_col, carry=[row_key(id_col, text_col).alias("_row")])
-    return without(docs, groups.where(~F.col("kept")).select("_row"), id_col, text_col)
+    gone, once = surplus(groups.where("copies IS NOT NULL").select("copies", "_row"), "copies", largest=True)
+    return without(docs, written(gone, "exact-copies"), id_col, text_col, written(once, "exact-repeats"))

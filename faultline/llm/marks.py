@@ -31,19 +31,47 @@ def marked(df: DataFrame, bitmap: DataFrame, key: Column, out: str) -> DataFrame
 
 def row_key(id_col: str, text_col: str) -> Column:
     """What a decision about a document is kept by: its id, null or not, and 128 bits of hash of the text that the decision was made on."""
-    text = F.col(text_col).cast("string")
-    return F.struct(F.col(id_col).alias("id"), text.isNull().alias("none"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+    return _key_of(F.col(id_col), F.col(text_col))
 
 
-def without(docs: DataFrame, dropped: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` without the rows whose :func:`row_key` is the only column of ``dropped``; only rows that may be dropped are shuffled.
+def _key_of(id_: Column, text: Column) -> Column:
+    text = text.cast("string")
+    return F.struct(id_.alias("id"), text.isNull().alias("none"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
 
-    Rows that share an id, or have none, go by their own text each.
+
+def surplus(rows: DataFrame, group: str, largest: bool) -> tuple[DataFrame, DataFrame]:
+    """What has to go so that one row of each group stays: keys whose rows all go, and keys of which one of several rows stays.
+
+    ``rows`` is ``(group, _row)`` with the :func:`row_key` of each document.  The row of the largest (or smallest) id stays, a null id loses,
+    and among rows of one id the hash of the text decides.  Repeated rows are counted before they are exchanged.
+    """
+    keys = rows.groupBy(group, "_row").agg(F.count("*").alias("_rows"))
+    best = F.max("_row") if largest else F.min_by("_row", F.struct(F.col("_row.id").isNull().alias("none"), F.col("_row").alias("row")))
+    stays = keys.groupBy(group).agg(best.alias("_best"))
+    # Joined by a second expression of the group too: both sides are exchanged, and adaptive execution can split a large group.
+    again = F.xxhash64(F.col(group))
+    both = keys.withColumn("_again", again).join(stays.withColumn("_again", again), [group, "_again"])
+    both = both.select("_row", "_rows", F.col("_row").eqNullSafe(F.col("_best")).alias("_stays"))
+    return both.where("NOT _stays").select("_row"), both.where("_stays AND _rows > 1").select("_row")
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, once: DataFrame | None = None) -> DataFrame:
+    """``docs`` without the rows whose :func:`row_key` is the only column of ``gone``, and with one row only of each key in ``once``.
+
+    Only rows that may have to go are shuffled.  Rows that share an id, or have none, go by their own text each.  The row travels as one
+    struct, so columns may have any names.
     """
-    columns = docs.columns
-    gone = dropped.toDF("_gone")
-    rows = docs.withColumn("_row", row_key(id_col, text_col))
-    rows = marked(rows, bitmap_of(gone, F.xxhash64("_gone")), F.xxhash64("_row"), "_maybe")
-    stay = rows.where(~F.col("_maybe")).select(*columns)
-    maybe = rows.where("_maybe").select(*columns, "_row")
-    return stay.unionByName(maybe.join(gone, F.col("_row").eqNullSafe(F.col("_gone")), "left_anti").select(*columns))
+    columns = [f"`{c.replace('`', '``')}`" for c in docs.columns]
+    rows = docs.select(F.struct(*columns).alias("doc")).withColumn("key", _key_of(F.col("doc").getField(id_col), F.col("doc").getField(text_col)))
+    listed = gone.toDF("key").withColumn("gone", F.lit(True))
+    if once is not None:
+        listed = listed.unionByName(once.toDF("key").withColumn("gone", F.lit(False)))
+    rows = marked(rows, bitmap_of(listed, F.xxhash64("key")), F.xxhash64("key"), "maybe")
+    stay = rows.where("NOT maybe").select("doc")
+    maybe = rows.where("maybe").join(listed.withColumnRenamed("key", "listed"), F.col("key").eqNullSafe(F.col("listed")), "left")
+    stay = stay.unionByName(maybe.where("gone IS NULL").select("doc"))
+    if once is not None:
+        # Of rows with one id and text the one with the least hash of all columns: equal rows, as far as the result can tell.
+        single = maybe.where("NOT gone").groupBy("key").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc"))
+        stay = stay.unionByName(single.select("doc"))
+    return stay.select("doc.*")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from faultline.llm.common import map_batches, written
 from faultline.llm.components import component_labels
-from faultline.llm.marks import bitmap_of, marked, row_key, without
+from faultline.llm.marks import bitmap_of, marked, row_key, surplus, without
 from faultline.llm.words import Block, blocks, mix, shingles
 
 WORDS, PERCENT = 5, 80
@@ -194,7 +194,8 @@ def _possible(n_a: str, at_a: str, n_b: str, at_b: str, percent: int):
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT, carry: Sequence = ()) -> DataFrame:
-    """Per document: ``id_col``, ``n_shingles``, ``cid`` (name of its class, null if its set is empty), ``component_id``, the ``carry`` columns.
+    """Per document: ``id_col``, ``n_shingles``, ``cid`` (name of its class, null if its set is empty), ``component_id``, ``component`` (names the
+    component; null: alone), the ``carry`` columns.
 
     Words are runs of other than ASCII white space, after lower-casing A-Z; a set holds a text's distinct ``k``-word shingles, or its whole
     sequence if it has fewer words.  Sets are linked when ``100 * shared >= percent * all``.  ``component_id`` is the smallest id that links
@@ -241,14 +242,18 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_class = classes.select("cid", "least").join(labels, F.col("cid") == F.col("node"), "left").select("cid", "least", F.coalesce("label", "cid").alias("part"))
     of_class = of_class.join(joined, "part", "left").select("cid", "least", F.coalesce("whole", "part").alias("label"))
     ids = of_class.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_class = written(of_class.join(ids, "label").select("cid", "component_id"), "shingle-components")
-    found = some.select("_id", "n", "cid", "_carry").join(of_class, "cid").select("_id", "n", "cid", "component_id", "_carry")
-    alone = members.where("cid IS NULL").select("_id", "n", "cid", F.col("_id").alias("component_id"), "_carry")
-    return found.unionByName(alone).select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "cid", "component_id", "_carry.*").drop("_none")
+    of_class = written(of_class.join(ids, "label").select("cid", "component_id", F.col("label").alias("component")), "shingle-components")
+    found = some.select("_id", "n", "cid", "_carry").join(of_class, "cid").select("_id", "n", "cid", "component_id", "component", "_carry")
+    alone = members.where("cid IS NULL").select("_id", "n", "cid", F.col("_id").alias("component_id"), F.lit(None).cast("bigint").alias("component"), "_carry")
+    return found.unionByName(alone).select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "cid", "component_id", "component", "_carry.*").drop("_none")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Of every component the document of the smallest id, with all columns; null ids stay."""
+    """One document of every component, with all columns: the one of the smallest id.
+
+    A null id loses against every other; where rows share the id, or none has one, the hash of the text decides, and of rows that repeat
+    both id and text one stays.  Texts without words are linked with nothing and all stay.
+    """
     found = near_components(docs, id_col, text_col, k, percent, carry=[row_key(id_col, text_col).alias("_row")])
-    gone = found.where(F.col(id_col) != F.col("component_id"))
-    return without(docs, written(gone.select("_row"), "near-copies"), id_col, text_col)
+    gone, once = surplus(found.where("component IS NOT NULL").select("component", "_row"), "component", largest=False)
+    return without(docs, written(gone, "near-copies"), id_col, text_col, written(once, "near-repeats"))
