@@ -157,10 +157,15 @@ def j4(spark, sf):
     return scoring.rank_candidates(scored(spark, sf)).select("ticket_id", "candidate_id", F.col("rank").cast("bigint").alias("rank"))
 
 
-@check("j5_fit_platt")
+@check("j5_fit_platt", f"""WITH RECURSIVE {SIGNAL_SQL}, h AS (SELECT raw_score AS x, (o_orderstatus = 'F')::int AS y FROM scored JOIN orders ON o_orderkey = candidate_id),
+  nw AS (SELECT 0 AS i, 0.0::double AS a, ln(m / (1 - m)) AS b FROM (SELECT avg(y) AS m FROM h)
+    UNION ALL SELECT i + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab)
+    FROM (SELECT i, a, b, sum((p - y) * x) AS ga, sum(p - y) AS gb, sum(p * (1 - p) * x * x) AS haa, sum(p * (1 - p) * x) AS hab, sum(p * (1 - p)) AS hbb
+      FROM (SELECT i, a, b, x, y, 1 / (1 + exp(-(a * x + b))) AS p FROM nw, h WHERE i < 12) GROUP BY i, a, b))
+  SELECT round(a, 4) AS platt_a, round(b, 4) AS platt_b, (SELECT count(*) FROM h) AS sample_count FROM nw WHERE i = 12""")
 def j5(spark, sf):
     history = scored(spark, sf).join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("candidate_id"), "o_orderstatus"), "candidate_id")
-    return scoring.fit_platt(history.withColumn("success", F.col("o_orderstatus") == "F"))
+    return rounded(scoring.fit_platt(history.withColumn("success", F.col("o_orderstatus") == "F")), "platt_a", "platt_b", digits=4)
 
 
 @check("j6_chipset_penalty", """WITH r AS (SELECT l_orderkey AS candidate_id, CASE l_returnflag WHEN 'A' THEN 'MTK_LEGACY' ELSE 'MTK_CURRENT' END AS chipset,

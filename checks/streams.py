@@ -57,15 +57,17 @@ def l1(spark, sf):
 
 @check("l2_stream_spikes", f"""WITH {EVENTS_SQL}, dm AS (SELECT ts, user_id, d.* FROM er, LATERAL (VALUES ('app', app), ('layer', layer), ('chipset', chipset), ('error_category', error_category)) d(dimension, value)),
   mo AS (SELECT * FROM dm SEMI JOIN (VALUES {_MON}) m(dimension, value) USING (dimension, value)),
-  wn AS (SELECT dimension, value, (epoch_us(ts) // 300000000 + 1 + i) * 300000000 AS e FROM mo, range(12) r(i)),
-  ct AS (SELECT dimension, value, e, count(*) AS n FROM wn GROUP BY ALL), bl AS (SELECT dimension, value, count(*) / 720 AS b FROM mo GROUP BY ALL)
-  SELECT dimension, value, e AS as_of_us, n AS current_rate, round(n / b, 6) AS spike_factor FROM ct JOIN bl USING (dimension, value)
+  wn AS (SELECT dimension, value, user_id, (epoch_us(ts) // 300000000 + 1 + i) * 300000000 AS e FROM mo, range(12) r(i)),
+  ct AS (SELECT dimension, value, e, count(*) AS n, count(DISTINCT user_id) AS users FROM wn GROUP BY ALL), bl AS (SELECT dimension, value, count(*) / 720 AS b FROM mo GROUP BY ALL)
+  SELECT dimension, value, e AS as_of_us, n AS current_rate, round(n / b, 6) AS spike_factor, users AS affected_users,
+    CASE WHEN n / b >= 3 THEN 'high' ELSE 'medium' END AS priority FROM ct JOIN bl USING (dimension, value)
   WHERE n / b >= 2 AND {_final('(SELECT max(epoch_us(ts)) FROM er)', 'e')}""")
 def l2(spark, sf):
     batch = telemetry.by_dimension(error_events(spark, sf)).groupBy("dimension", "value").agg((F.count("*") / 720).alias("baseline_rate"))
     events = spark.sql(_EVENTS.format(e="{e}"), e=_events(spark, sf))
     out = _run(spark, streaming.spikes(events, batch, min_users=0, min_errors=0))
-    return out.select("dimension", "value", F.unix_micros("as_of").alias("as_of_us"), "current_rate", F.round("spike_factor", 6).alias("spike_factor"))
+    return out.select("dimension", "value", F.unix_micros("as_of").alias("as_of_us"), "current_rate", F.round("spike_factor", 6).alias("spike_factor"),
+                      "affected_users", "priority")
 
 
 @check("l3_stream_incidents", f"""WITH {LINES_SQL}, {ENGINE_SQL}, {EV_SQL}, {INC_TYPE_SQL} SELECT log_id, start_us, end_us, error_count,

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.text import as_col
 from faultline.functions.tickets import target_error_present
 from faultline.rules import vocab
+from faultline.session import materialized
 
 # Signal weights, routing thresholds, path weights.
 SIGNAL_WEIGHTS = {
@@ -159,16 +162,53 @@ def build_signals(candidates: DataFrame, validation: DataFrame, reproduction: Da
     return success_rate(out, rates) if rates is not None else out.withColumn("historical_success_rate", F.lit(0.5))
 
 
-def fit_platt(history: DataFrame, raw: str = "raw_score", success: str = "success") -> DataFrame:
-    """One row ``(platt_a, platt_b, sample_count)`` that minimises log loss on past outcomes."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
+def fit_platt(history: DataFrame, raw: str = "raw_score", success: str = "success", steps: int = 100, tolerance: float = 1e-10) -> DataFrame:
+    """One row ``(platt_a, platt_b, sample_count)`` that minimises log loss on past outcomes.
 
-    rows = history.select(F.col(raw).cast("double").alias("raw"), F.col(success).cast("double").alias("label"))
-    model = LogisticRegression(regParam=0.0, standardization=False, maxIter=100).fit(
-        VectorAssembler(inputCols=["raw"], outputCol="features").transform(rows))
-    return rows.agg(F.lit(float(model.coefficients[0])).alias("platt_a"), F.lit(float(model.intercept)).alias("platt_b"),
-                    F.count("*").alias("sample_count"))
+    Newton steps over sums that Spark takes of the counted scores; a step that raises the loss is halved.  Where the two outcomes don't overlap
+    (or one is missing) no finite curve fits best: the outcomes then count as ``(n1 + 1) / (n1 + 2)`` and ``1 / (n0 + 2)``.  Scores that
+    are all equal give slope 0, and no history gives the identity (1, 0).  Rows without a finite score or an outcome are left out.
+    """
+    x, y = F.col(raw).cast("double"), F.col(success).cast("double")
+    rows = history.select(x.alias("x"), y.alias("y")).where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')")
+    counts = materialized(rows.groupBy("x", "y").agg(F.count("*").cast("double").alias("n")), "scores")
+    on, off = F.col("y") > 0.5, F.col("y") <= 0.5
+    total, ones, low1, high1, low0, high0 = counts.agg(
+        F.sum("n"), F.coalesce(F.sum(F.when(on, F.col("n"))), F.lit(0.0)), F.min(F.when(on, F.col("x"))), F.max(F.when(on, F.col("x"))),
+        F.min(F.when(off, F.col("x"))), F.max(F.when(off, F.col("x")))).first()
+    if not total:
+        return counts.sparkSession.sql("SELECT 1.0D AS platt_a, 0.0D AS platt_b, 0L AS sample_count")
+    zeros = total - ones
+    overlap = ones > 0 and zeros > 0 and high0 > low1 and high1 > low0
+    target1, target0 = (1.0, 0.0) if overlap else ((ones + 1) / (ones + 2), 1 / (zeros + 2))
+    low, high = min(v for v in (low1, low0) if v is not None), max(v for v in (high1, high0) if v is not None)
+    # Scores from 0 to 1 keep the steps well scaled.
+    spread = high - low or 1.0
+    unit, target = (F.col("x") - low) / spread, F.when(on, target1).otherwise(target0)
+    mean = (ones * target1 + zeros * target0) / total
+
+    def sums(a, b):
+        z = a * unit + b
+        p = 1 / (1 + F.exp(-z))
+        loss = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - target * z
+        terms = (loss, (p - target) * unit, p - target, p * (1 - p) * unit * unit, p * (1 - p) * unit, p * (1 - p))
+        return counts.agg(*[F.sum(F.col("n") * t) for t in terms]).first()
+
+    a, b = 0.0, math.log(mean / (1 - mean))
+    loss, ga, gb, haa, hab, hbb = sums(a, b)
+    for _ in range(steps if high > low else 0):
+        if abs(ga) + abs(gb) <= tolerance * total:
+            break
+        det = haa * hbb - hab * hab
+        if det <= 0:
+            break
+        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
+        size = 1.0
+        while (now := sums(a - size * da, b - size * db))[0] > loss + 1e-12 * total and size > 1e-6:
+            size /= 2
+        a, b = a - size * da, b - size * db
+        loss, ga, gb, haa, hab, hbb = now
+    return counts.agg(F.lit(a / spread).alias("platt_a"), F.lit(b - a * low / spread).alias("platt_b"), F.sum("n").cast("bigint").alias("sample_count"))
 
 
 def chipset_penalty(results: DataFrame, id: str = "candidate_id") -> DataFrame:

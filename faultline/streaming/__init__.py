@@ -78,11 +78,11 @@ def spikes(events: DataFrame, baseline: DataFrame, spike_threshold: float = 2.0,
            monitored: dict[str, list[str]] | None = None, watermark: str = WATERMARK) -> DataFrame:
     """Rate of the trailing hour every five minutes against a static ``(dimension, value, baseline_rate)``.
 
-    Users are counted approximately, as streams cannot count distinct values exactly.
+    Users are counted exactly by two sums over the same windows, first by user: state holds the users of open windows only.
     """
     rows = by_dimension(events.withWatermark("ts", watermark), monitored=monitored)
-    hourly = rows.groupBy("dimension", "value", F.window("ts", "1 hour", "5 minutes").alias("w")).agg(
-        F.count("*").alias("current_rate"), F.approx_count_distinct("user_id", 0.01).alias("affected_users"))
+    by_user = rows.groupBy("dimension", "value", "user_id", F.window("ts", "1 hour", "5 minutes").alias("w")).agg(F.count("*").alias("n"))
+    hourly = by_user.groupBy("dimension", "value", "w").agg(F.sum("n").alias("current_rate"), F.count("user_id").alias("affected_users"))
     out = hourly.join(baseline.where("baseline_rate > 0"), ["dimension", "value"])
     factor = F.try_divide("current_rate", "baseline_rate")
     out = out.where((factor >= spike_threshold) & (F.col("affected_users") >= min_users) & (F.col("current_rate") * 24 >= min_errors))

@@ -110,6 +110,23 @@ def test_platt_finds_the_fit(spark):
     assert row.sample_count == 300 and 4 < row.platt_a < 9 and -5 < row.platt_b < -1.5
 
 
+@pytest.mark.parametrize("data", [[], [(0.2, True), (0.9, True)], [(0.1, False), (0.2, False), (0.7, True)], [(0.5, True), (0.5, False), (0.5, True)], [(None, True), (float("nan"), False), (0.3, None)],
+                                  [(0.2, False), (0.5, False), (0.5, True), (0.9, True)], [(3e6, True), (1e6, False), (2e6, True), (2.5e6, False)]])
+def test_platt_of_odd_histories(spark, data):
+    row = scoring.fit_platt(spark.createDataFrame(data, "raw_score double, success boolean")).first()
+    good = [(x, y) for x, y in data if x is not None and not math.isnan(x) and y is not None]
+    assert row.sample_count == len(good) and math.isfinite(row.platt_a) and math.isfinite(row.platt_b)
+    if not good:
+        assert (row.platt_a, row.platt_b) == (1.0, 0.0)
+        return
+    ones = [x for x, y in good if y]
+    zeros = [x for x, y in good if not y]
+    overlap = ones and zeros and max(zeros) > min(ones) and max(ones) > min(zeros)
+    target = {True: 1.0, False: 0.0} if overlap else {True: (len(ones) + 1) / (len(ones) + 2), False: 1 / (len(zeros) + 2)}
+    miss = [1 / (1 + math.exp(-(row.platt_a * x + row.platt_b))) - target[y] for x, y in good]
+    assert abs(sum(miss)) < 1e-6 and abs(sum(m * x for m, (x, _) in zip(miss, good, strict=True))) < 1e-6 * max(abs(x) for x, _ in good)
+
+
 @pytest.mark.parametrize("age, category, variant, low, high", [
     (1, "EME_DRM_FAILURE", "memory", 0.98, 1.0), (365, "COMPANION_LIB_TIMING", "memory", 0.0, 0.5), (365, "OTHER", "memory", 0.499, 0.501),
     (90, "OTHER", "router", 0.499, 0.501)])
