@@ -55,29 +55,31 @@ INTAKE_CODES = [
     (r"(?i)I/O error|EIO", ["io_error", "mmc_fail"]),
 ]
 
-_HANG = ["deadlock", "hang", "timeout", "race_condition"]
-_FREEZE = _HANG + ["mutex", "spinlock"]
-_CRASH = ["segfault", "sigsegv", "sigabrt", "exception", "abort", "core_dump"]
-_REBOOT = ["kernel_panic", "watchdog", "reboot", "crash"]
-_RESTART = ["crash", "abort", "restart", "exception"]
-_BLACK = ["display_init", "gpu_fault", "video_decode", "hdmi", "framebuffer"]
-_SILENT = ["audio_codec", "alsa", "dsp_crash", "audio_init", "hdmi_audio"]
-
 # Whole-word term -> technical keywords (context dictionary).
 CONTEXT_TERMS = {
-    "freeze": _FREEZE, "freezes": _FREEZE, "frozen": _FREEZE,
-    "hang": _HANG, "hangs": _HANG, "stuck": _HANG,
+    "freeze": ["deadlock", "hang", "timeout", "race_condition", "mutex", "spinlock"],
+    "freezes": ["deadlock", "hang", "timeout", "race_condition", "mutex", "spinlock"],
+    "frozen": ["deadlock", "hang", "timeout", "race_condition", "mutex", "spinlock"],
+    "hang": ["deadlock", "hang", "timeout", "race_condition"],
+    "hangs": ["deadlock", "hang", "timeout", "race_condition"],
+    "stuck": ["deadlock", "hang", "timeout", "race_condition"],
     "unresponsive": ["deadlock", "hang", "timeout", "event_loop"],
     "slow": ["performance", "latency", "memory_leak", "cpu_usage"],
-    "crash": _CRASH, "crashes": _CRASH, "crashed": _CRASH,
-    "reboot": _REBOOT, "reboots": _REBOOT,
-    "restart": _RESTART, "restarts": _RESTART,
-    "black_screen": _BLACK, "black": _BLACK,
+    "crash": ["segfault", "sigsegv", "sigabrt", "exception", "abort", "core_dump"],
+    "crashes": ["segfault", "sigsegv", "sigabrt", "exception", "abort", "core_dump"],
+    "crashed": ["segfault", "sigsegv", "sigabrt", "exception", "abort", "core_dump"],
+    "reboot": ["kernel_panic", "watchdog", "reboot", "crash"],
+    "reboots": ["kernel_panic", "watchdog", "reboot", "crash"],
+    "restart": ["crash", "abort", "restart", "exception"],
+    "restarts": ["crash", "abort", "restart", "exception"],
+    "black_screen": ["display_init", "gpu_fault", "video_decode", "hdmi", "framebuffer"],
+    "black": ["display_init", "gpu_fault", "video_decode", "hdmi", "framebuffer"],
     "blank_screen": ["display_init", "gpu_fault", "video_decode", "hdmi"],
     "no_video": ["video_decode", "codec", "vdec", "gpu_fault"],
     "flickering": ["vsync", "framebuffer", "gpu_fault", "hdmi"],
     "tearing": ["vsync", "framebuffer", "gpu_fault"],
-    "no_sound": _SILENT, "no_audio": _SILENT,
+    "no_sound": ["audio_codec", "alsa", "dsp_crash", "audio_init", "hdmi_audio"],
+    "no_audio": ["audio_codec", "alsa", "dsp_crash", "audio_init", "hdmi_audio"],
     "audio_stutter": ["audio_buffer", "underrun", "dsp_crash", "audio_sync"],
     "audio_delay": ["audio_sync", "latency", "audio_buffer"],
     "crackling": ["audio_buffer", "underrun", "audio_codec"],
