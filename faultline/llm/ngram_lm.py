@@ -1,18 +1,20 @@
-"""Language-model scores from a weighted backoff model of all n-grams up to three words.
+"""Language-model scores from a weighted backoff automaton of all n-grams up to three words.
 
 A state is the longest suffix of what was read that is itself an n-gram of the model, an arc reads a word with a probability, and a failure arc
-leads to the next shorter suffix with a backoff weight.  A text's score is the sum of the log10 probabilities along its one traversal.
+leads to the next shorter suffix with a backoff weight.  A text's score is the sum of the log10 probabilities along its one traversal from left
+to right, which carries the state.
 
 The model holds every n-gram of the training texts, whatever the size of the corpus, and no part of it is held in one place.  Texts are cut into
-blocks of tokens.  A block asks for the counts of its distinct n-grams; requests are dealt by ranges of n-gram hashes, as many ranges as the texts
-have blocks' worth of bytes, so a key reaches its range at most once a block, however frequent it is.  The answers meet the block again, which
-sums the arcs that it reads.  Of every n-gram one block is the owner; it adds the n-gram to the sums of its history, from which the weights of
-the failure arcs follow.  Those are joined to the texts that take them.
+blocks of tokens.  A block asks for the counts of its distinct n-grams; requests are dealt by ranges of n-gram hashes, in number with the bytes of
+the texts, so a key reaches its range at most once a block, however frequent it is.  The answers meet the block again: they are the states and arcs
+that its texts can reach, and the texts are read through them.  Of every n-gram one block is the owner; it adds the n-gram to the sums of its
+history, from which the weights of the failure arcs follow.  Those are joined to the failures that the traversal met.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +30,15 @@ from faultline.llm.words import Block, blocks, mix
 #: What is taken off every n-gram's count lies between these; within them it is estimated from how many n-grams occur once and twice.
 DISCOUNTS = 0.5, 0.95
 #: Tokens that a task looks up together.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 #: Bytes of texts for each range of n-gram hashes.
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 8 << 20
+#: Longer rows are read in stretches of so many tokens side by side.
+STRETCH = 256
+#: Bits of the hash of an n-gram of two or three words beyond those that number the bytes of the texts: of all such n-grams a share of about 2^-22
+#: has another's key, at every size.  Single words have 63 bits, as their counts are results.
+SPARE_BITS = 22
+_WORD_BITS = 32
 #: The word that ends a text.
 END = np.uint64(0x9E3779B97F4A7C15)
 
@@ -58,8 +66,13 @@ def _joined(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return tokens, first
 
 
-def _grams(tokens: np.ndarray, first: np.ndarray) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
-    """Per order: the places where an n-gram ends that doesn't cross a row's start, and a key (hash) for each."""
+def key_bits(size: int) -> int:
+    """Bits of the keys of orders 2 and 3 over texts of ``size`` bytes."""
+    return min(63, SPARE_BITS + max(1, size).bit_length())
+
+
+def _grams(tokens: np.ndarray, first: np.ndarray, bits: int) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
+    """Per order: the places where an n-gram ends that doesn't cross a row's start, and a key (the first bits of a hash) for each."""
     place = np.arange(len(tokens)) - np.repeat(first[:-1], np.diff(first))
     one = mix(tokens)
     two = np.zeros_like(one)
@@ -68,7 +81,8 @@ def _grams(tokens: np.ndarray, first: np.ndarray) -> tuple[dict[int, np.ndarray]
     three[1:] = mix(two[:-1] * np.uint64(0xA0761D6478BD642F) + tokens[1:])
     at = {1: np.arange(len(tokens)), 2: np.flatnonzero(place >= 1), 3: np.flatnonzero(place >= 2)}
     # The lowest bit is left free for a flag that is sorted along.
-    return at, {n: keys[at[n]] & ~np.uint64(1) for n, keys in ((1, one), (2, two), (3, three))}
+    short = ~np.uint64((1 << (64 - bits)) - 1)
+    return at, {1: one & ~np.uint64(1), 2: two[at[2]] & short, 3: three[at[3]] & short}
 
 
 def _packed(values: np.ndarray, ascending: bool = False) -> bytes:
@@ -142,7 +156,7 @@ def _block_read(a: bytes, b: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray]:
     return _unpacked(a, np.uint64, True)[_unpacked(b, np.int32)], _unpacked(c, np.int64, True)
 
 
-def _asked(texts: DataFrame, parts: int) -> DataFrame:
+def _asked(texts: DataFrame, parts: int, bits: int) -> DataFrame:
     """Per block, order (``kind``) and range (``part``) of hashes: ``a`` the distinct n-grams' keys, ``b`` their counts in the block's training texts."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +164,7 @@ def _asked(texts: DataFrame, parts: int) -> DataFrame:
             for number, *row in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 tokens, first = _block_read(*row[:3])
                 trains = np.repeat(_unpacked(row[3], np.uint8) ^ 1, np.diff(first)).astype(np.uint64)
-                at, keys = _grams(tokens, first)
+                at, keys = _grams(tokens, first, bits)
                 for order in (1, 2, 3):
                     flagged = np.sort(keys[order] | trains[at[order]])
                     if not len(flagged):
@@ -195,106 +209,163 @@ def discount(once: int, twice: int) -> float:
     return float(np.clip(once / max(1, once + 2 * twice), *DISCOUNTS))
 
 
-def _read(texts: DataFrame, told: DataFrame, least: float, off: dict[int, float], denominator: float) -> DataFrame:
+@dataclass
+class Automaton:
+    """The states and arcs that a block's texts can reach: 0 is the empty suffix, then a state per word, then one per pair of words.
+
+    ``arcs`` are ascending keys ``state << 32 | word`` with log10 probabilities and the state that they lead to; ``fail`` is the state behind every
+    state's failure arc.  The empty suffix has an arc for every word.
+    """
+
+    arcs: np.ndarray
+    logp: np.ndarray
+    target: np.ndarray
+    fail: np.ndarray
+
+    def steps(self, state: np.ndarray, word: np.ndarray, place: np.ndarray, failures: list | None) -> tuple[np.ndarray, np.ndarray]:
+        """State and log10 probability after reading a word; ``failures`` takes (place, state) of each failure arc that was followed."""
+        score, out, open_ = np.zeros(len(state)), np.zeros(len(state), np.int64), np.arange(len(state))
+        while len(open_):
+            key = (state[open_] << _WORD_BITS) | word[open_]
+            at = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+            hit = self.arcs[at] == key
+            score[open_[hit]] = self.logp[at[hit]]
+            out[open_[hit]] = self.target[at[hit]]
+            open_ = open_[~hit]
+            if failures is not None:
+                failures.append((place[open_], state[open_]))
+            state[open_] = self.fail[state[open_]]
+        return out, score
+
+    def traverse(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per row of word numbers the log10 probability but for failure arcs; row and state of every failure arc that was followed.
+
+        Rows are read side by side, word by word.  A long row is read in stretches side by side too: the state at a cut is the one that the two
+        words before it lead to, as no state is longer than that.
+        """
+        counts = np.diff(first)
+        stretches = -(-counts // STRETCH)
+        row = np.repeat(np.arange(len(counts)), stretches)
+        place = (np.arange(len(row)) - np.repeat(np.cumsum(stretches) - stretches, stretches)) * STRETCH
+        length = np.minimum(counts[row] - place, STRETCH)
+        order = np.argsort(-length, kind="stable")
+        row, start, length, cut = row[order], (first[:-1][row] + place)[order], length[order], np.flatnonzero(place[order])
+        state, score, failures = np.zeros(len(row), np.int64), np.zeros(len(row)), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for back in (2, 1):
+            state[cut], _ = self.steps(state[cut], words[start[cut] - back], row[cut], None)
+        ascending = length[::-1]
+        for step in range(int(length.max(initial=0))):
+            n = len(length) - int(np.searchsorted(ascending, step, "right"))  # stretches that have a word left
+            state[:n], gained = self.steps(state[:n].copy(), words[start[:n] + step], row[:n], failures)
+            score[:n] += gained
+        rows, states = (np.concatenate(x) for x in zip(*failures))
+        return np.bincount(row, weights=score, minlength=len(counts)), rows, states
+
+
+def _read(texts: DataFrame, told: DataFrame, off: dict[int, float], denominator: float, bits: int) -> DataFrame:
     """What blocks read, by kind.
 
-    0: per row of a block ``x``, ``y`` (base score, score without failure arcs) and ``n`` known words.  1: per row and history that it fails from, ``n``
-    times; ``u``, ``l`` are the counts of the history and of its shorter suffix (0: none).  2: per history, of the n-grams that the block owns:
-    ``n`` of them, ``u`` the sum of their counts, ``l`` of the counts of what they are without the first word.
+    0: per row of a block ``x``, ``y`` (base score, score without failure arcs) and ``n`` known words.  1: per row and state whose failure arc it
+    follows, ``n`` times.  2: per state, of the n-grams that the block owns: ``n`` arcs, ``u`` the sum of their counts, ``l`` of the counts of
+    what they are without the first word; ``c``, ``s`` are the counts of the state and of its shorter suffix (0: none).
     """
 
     def read(table: pa.Table) -> pa.Table:
         kinds = table["kind"].to_numpy()
         block = table["block"][0].as_py()
-
-        def blob(row, column, dtype):
-            return _unpacked(table[column][int(row)].as_py(), dtype)
-
         text = int(np.flatnonzero(kinds == 0)[0])
         tokens, first = _block_read(*(table[c][text].as_py() for c in "abc"))
-        at, keys = _grams(tokens, first)
-        parts, count, own = table["part"].to_numpy(), {}, {}
+        at, keys = _grams(tokens, first, bits)
+        parts = table["part"].to_numpy()
+        # Per order: a place where each distinct n-gram ends, its count, whether the block owns it; and each place's n-gram.
+        end, count, mine, number = {}, {}, {}, {}
         for order in (1, 2, 3):
             rows = np.flatnonzero(kinds == order)
             rows = rows[np.argsort(parts[rows])]
             where, starts, inverse = _grouped(keys[order])
-            totals = np.concatenate([np.zeros(0, np.int64), *(blob(r, "a", np.int64) for r in rows)])
-            mine = np.concatenate([np.zeros(0, np.uint8), *(blob(r, "b", np.uint8) for r in rows)]).astype(bool)
-            count[order] = np.zeros(len(tokens), np.int64)
-            count[order][at[order]] = totals[inverse]
-            own[order] = at[order][where[starts[mine & (totals >= least)]]]
-        key = {1: keys[1], 2: np.zeros(len(tokens), np.uint64)}
-        key[2][at[2]] = keys[2]
-        c1, c2, c3 = (count[n] for n in (1, 2, 3))
-        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        base = np.log10((c1 + 0.5) / denominator)
-        gain = base.copy()
-        two, three = at[2][c2[at[2]] >= least], at[3][c3[at[3]] >= least]
-        gain[two] = np.log10((c2[two] - off[2]) / c1[two - 1])
-        gain[three] = np.log10((c3[three] - off[3]) / c2[three - 1])
-        n = len(first) - 1
-
-        def total(values):
-            return np.bincount(row, weights=values, minlength=n)
-
-        out = [dict(kind=np.zeros(n), _at=np.arange(n), key=np.zeros(n), x=total(base), y=total(gain), n=total(c1 > 0), u=np.zeros(n), l=np.zeros(n))]
-        miss3 = at[3][c3[at[3]] < least]
-        miss2 = at[2][(c2[at[2]] < least) & (c3[at[2]] < least)]
-        for order, fails in ((2, miss3[c2[miss3 - 1] >= least]), (1, miss2[c1[miss2 - 1] >= least])):
-            rows, names = row[fails], key[order][fails - 1]
-            sort = np.lexsort((names, rows))
-            new = np.ones(len(sort), bool)
-            new[1:] = (rows[sort][1:] != rows[sort][:-1]) | (names[sort][1:] != names[sort][:-1])
-            where, times = sort[new], np.diff(np.append(np.flatnonzero(new), len(sort)))
-            state = fails[where] - 1
-            none = np.zeros(len(state))
-            out.append(dict(kind=none + 1, _at=rows[where], key=names[where].view(np.int64), x=none, y=none, n=times, u=count[order][state], l=c1[state] if order == 2 else none))
+            end[order] = at[order][where[starts]]
+            count[order] = np.concatenate([np.zeros(0, np.int64), *(_unpacked(table["a"][int(r)].as_py(), np.int64) for r in rows)])
+            mine[order] = np.concatenate([np.zeros(0, np.uint8), *(_unpacked(table["b"][int(r)].as_py(), np.uint8) for r in rows)]).astype(bool)
+            if order < 3:
+                number[order] = np.zeros(len(tokens), np.int64)
+                number[order][at[order]] = inverse
+                name = keys[order][where[starts]]
+                # A pair's name ends in 1, a word's in 0.
+                names = name if order == 1 else np.concatenate([names, name | np.uint64(1)])
+        del keys, where, inverse, at
+        words, pairs, n = len(end[1]), len(end[2]), len(first) - 1
+        base = np.log10((count[1] + 0.5) / denominator)
+
+        # States, arcs and failure arcs.
+        state = {1: lambda place: 1 + number[1][place], 2: lambda place: 1 + words + number[2][place]}
+        size = np.concatenate([[0], count[1], count[2]])
+        fail = np.zeros(1 + words + pairs, np.int64)
+        fail[1 + words :] = state[1](end[2])
+        arcs, logp, target = [np.arange(words)], [base], [np.where(count[1] > 0, 1 + np.arange(words), 0)]
         for order in (2, 3):
-            ends = own[order]
-            names = key[order - 1][ends - 1]
-            sort, starts, _ = _grouped(names)
-            none = np.zeros(len(starts))
-            sums = [np.add.reduceat(c[ends][sort], starts) if len(starts) else none for c in (count[order], count[order - 1])]
-            out.append(dict(kind=none + 2, _at=none, key=names[sort[starts]].view(np.int64), x=none, y=none, n=np.diff(np.append(starts, len(sort))), u=sums[0], l=sums[1]))
-        types = dict(kind=np.int32, _at=np.int64, key=np.int64, x=np.float64, y=np.float64, n=np.int64, u=np.int64, l=np.int64)
-        columns = {name: pa.array(np.concatenate([o[name].astype(t) for o in out])) for name, t in types.items()}
+            in_model = count[order] > 0
+            place = end[order][in_model]
+            source = state[order - 1](place - 1)
+            arcs.append((source << _WORD_BITS) | number[1][place])
+            logp.append(np.log10((count[order][in_model] - off[order]) / size[source]))
+            target.append(state[2](place))
+        arcs, logp, target = (np.concatenate(x) for x in (arcs, logp, target))
+        sort = np.argsort(arcs)
+        score, rows, states = Automaton(arcs[sort], logp[sort], target[sort], fail).traverse(number[1], first)
+        del arcs, logp, target, sort
+
+        row = np.repeat(np.arange(n), np.diff(first))
+        known = np.bincount(row, weights=count[1][number[1]] > 0, minlength=n)
+        out = [dict(kind=np.zeros(n), _at=np.arange(n), x=np.bincount(row, weights=base[number[1]], minlength=n), y=score, n=known)]
+        followed, times = np.unique((rows << _WORD_BITS) | states, return_counts=True)
+        out.append(dict(kind=np.ones(len(followed)), _at=followed >> _WORD_BITS, key=names[(followed & ((1 << _WORD_BITS) - 1)) - 1].view(np.int64), n=times))
+        for order in (2, 3):
+            own = mine[order] & (count[order] > 0)
+            place = end[order][own]
+            source = state[order - 1](place - 1)
+            shorter = count[order - 1][number[order - 1][place]]
+            sort, starts, _ = _grouped(source)
+            sums = [np.add.reduceat(c[sort], starts) if len(starts) else np.zeros(0) for c in (count[order][own], shorter)]
+            source = source[sort[starts]]
+            out.append(dict(kind=np.full(len(starts), 2), key=names[source - 1].view(np.int64), n=np.diff(np.append(starts, len(sort))), u=sums[0], l=sums[1], c=size[source], s=np.where(fail[source] > 0, size[fail[source]], 0)))
+        types = dict(kind=np.int32, _at=np.int32, key=np.int64, x=np.float64, y=np.float64, n=np.int64, u=np.int64, l=np.int64, c=np.int64, s=np.int64)
+        columns = {name: pa.array(np.concatenate([np.asarray(o.get(name, np.zeros(len(o["n"])))).astype(t) for o in out])) for name, t in types.items()}
         return pa.table({"block": pa.array(np.full(len(columns["n"]), block)), **columns})
 
     payload = texts.select(F.lit(0).alias("kind"), "block", F.lit(0).alias("part"), "a", "b", "c")
     answers = told.select("kind", "block", "part", "a", "b", F.lit(None).cast("binary").alias("c"))
-    schema = "block bigint, kind int, _at bigint, key bigint, x double, y double, n bigint, u bigint, l bigint"
+    schema = "block bigint, kind int, _at int, key bigint, x double, y double, n bigint, u bigint, l bigint, c bigint, s bigint"
     return payload.unionByName(answers).groupBy("block").applyInArrow(read, schema)
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", epsilon: float = 0.0, block: int = BLOCK_TOKENS) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK_TOKENS) -> DataFrame:
     """Per document: ``id_col``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
     Tokens are runs of other than ASCII white space, after lower-casing A-Z, then one end.  A null text is empty: the end alone.  The model
     learns from the documents that :func:`held_out` doesn't keep back; without any, every token has probability 1.  Rows may repeat; other
-    columns are ignored.  With an ``epsilon``, which is for experiments, the model is only the n-grams with that share of all training tokens, and
-    its discounts are estimated from those.
+    columns are ignored.
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
     held = written(_blocks(docs, id_col, text_col, block), "lm-blocks")
     texts = held.where("_at IS NULL").select("block", "a", "b", "c", "d")
-    told = written(_told(_asked(texts, 1 + size // RANGE_BYTES)), "lm-counts")
+    bits = key_bits(size)
+    told = written(_told(_asked(texts, 1 + size // RANGE_BYTES, bits)), "lm-counts")
     sums = {r["kind"]: r for r in told.groupBy("kind").agg(*(F.sum(c).alias(c) for c in ("tokens", "types", "once", "twice"))).collect()}
     total, vocabulary = (sums[1]["tokens"], sums[1]["types"]) if sums else (0, 0)
-    least = max(1.0, epsilon * total)
-    off = {n: discount(sums[n]["once"] if least <= 1 else 0, sums[n]["twice"] if least <= 2 else 0) if n in sums else DISCOUNTS[0] for n in (2, 3)}
+    off = {n: discount(sums[n]["once"], sums[n]["twice"]) if n in sums else DISCOUNTS[0] for n in (2, 3)}
     denominator = float(total + 0.5 * (vocabulary + 1))
-    found = written(_read(texts, told, least, off, denominator), "lm-scores")
-
-    fails = found.where("kind = 1").select("block", "_at", "key", "n", "u", "l")
-    arcs = marked(found.where("kind = 2").select("key", "n", "u", "l"), bitmap_of(fails, F.col("key")), F.col("key"), "_m").where("_m")
-    arcs = arcs.groupBy("key").agg(*(F.sum(c).alias(f"_{c}") for c in "nul"))
+    found = written(_read(texts, told, off, denominator, bits), "lm-scores")
+
+    fails = found.where("kind = 1").select("block", "_at", "key", F.col("n").cast("int").alias("n"))
+    arcs = marked(found.where("kind = 2").select("key", "n", "u", "l", "c", "s"), bitmap_of(fails, F.col("key")), F.col("key"), "_m").where("_m")
+    arcs = arcs.groupBy("key").agg(*(F.sum(c).alias(f"_{c}") for c in "nul"), *(F.max(c).alias(c) for c in "cs"))
+    long = F.col("s") > 0
+    used = (F.col("_u") - F.when(long, off[3]).otherwise(off[2]) * F.col("_n")) / F.col("c")
+    below = F.when(long, (F.col("_l") - off[2] * F.col("_n")) / F.col("s")).otherwise((F.col("_l") + 0.5 * F.col("_n")) / denominator)
+    weights = arcs.select("key", F.log10(F.greatest(1 - used, F.lit(1e-12)) / F.greatest(1 - below, F.lit(1e-12))).alias("_weight"))
     # Joined by a second expression of the key too: both sides are exchanged, and adaptive execution can split a frequent history.
-    met = fails.withColumn("_again", F.xxhash64("key")).join(arcs.withColumn("_again", F.xxhash64("key")), ["key", "_again"])
-    long = F.col("l") > 0
-    used = (F.col("_u") - F.when(long, off[3]).otherwise(off[2]) * F.col("_n")) / F.col("u")
-    below = F.when(long, (F.col("_l") - off[2] * F.col("_n")) / F.col("l")).otherwise((F.col("_l") + 0.5 * F.col("_n")) / denominator)
-    weight = F.log10(F.greatest(1 - used, F.lit(1e-12)) / F.greatest(1 - below, F.lit(1e-12)))
-    back = met.groupBy("block", "_at").agg(F.sum(weight * F.col("n")).alias("_back"))
+    met = fails.withColumn("_again", F.xxhash64("key")).join(weights.withColumn("_again", F.xxhash64("key")), ["key", "_again"])
+    back = met.groupBy("block", "_at").agg(F.sum(F.col("_weight") * F.col("n")).alias("_back"))
     read = found.where("kind = 0").select("block", "_at", "x", "y", F.col("n").alias("n_known"))
-    out = held.where("_at IS NOT NULL").select("_id", "held_out", "_at", "n_tokens", "block").join(read, ["block", "_at"]).join(back, ["block", "_at"], "left")
+    out = held.where("_at IS NOT NULL").select("_id", "held_out", F.col("_at").cast("int").alias("_at"), "n_tokens", "block").join(read, ["block", "_at"]).join(back, ["block", "_at"], "left")
     return out.select(F.col("_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), F.col("x").alias("base_score"), (F.col("y") + F.coalesce("_back", F.lit(0.0))).alias("score"))
