@@ -183,7 +183,7 @@ def _asked(texts: DataFrame, parts: int, bits: int) -> DataFrame:
 
 
 def _told(requests: DataFrame) -> DataFrame:
-    """Per request: ``a`` the count over all training texts of each key, ``b`` whether the block owns it; and the range's sums on one row."""
+    """Per request: ``a`` the count over all training texts of each key, ``b`` whether the block owns it (1) and nobody else asked (2); and the range's sums on one row."""
 
     def answer(table: pa.Table) -> pa.Table:
         keys = [_unpacked(x.as_py(), np.uint64, True) for x in table["a"]]
@@ -194,6 +194,7 @@ def _told(requests: DataFrame) -> DataFrame:
         owner = np.zeros(len(counts), np.uint8)
         one = np.maximum.reduceat(np.where(counts[order] > 0, order, -1), starts)  # any request that has trained on it
         owner[one[one >= 0]] = 1
+        owner |= (np.diff(np.append(starts, len(order))) == 1).astype(np.uint8)[inverse] << 1
         told = total[inverse]
         rows = range(len(keys))
         sums = [total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum()]
@@ -266,7 +267,7 @@ def _read(texts: DataFrame, told: DataFrame, off: dict[int, float], denominator:
     """What blocks read, by kind.
 
     0: per row of a block ``x``, ``y`` (base score, score without failure arcs) and ``n`` known words.  1: per row and state whose failure arc it
-    follows, ``n`` times.  2: per state, of the n-grams that the block owns: ``n`` arcs, ``u`` the sum of their counts, ``l`` of the counts of
+    follows, ``n`` times.  2: per state, of the n-grams that the block owns, unless it alone has the state and doesn't fail from it: ``n`` arcs, ``u`` the sum of their counts, ``l`` of the counts of
     what they are without the first word; ``c``, ``s`` are the counts of the state and of its shorter suffix (0: none).
     """
 
@@ -277,15 +278,15 @@ def _read(texts: DataFrame, told: DataFrame, off: dict[int, float], denominator:
         tokens, first = _block_read(*(table[c][text].as_py() for c in "abc"))
         at, keys = _grams(tokens, first, bits)
         parts = table["part"].to_numpy()
-        # Per order: a place where each distinct n-gram ends, its count, whether the block owns it; and each place's n-gram.
-        end, count, mine, number = {}, {}, {}, {}
+        # Per order: a place where each distinct n-gram ends, its count, whether the block owns it or alone has it; and each place's n-gram.
+        end, count, flags, number = {}, {}, {}, {}
         for order in (1, 2, 3):
             rows = np.flatnonzero(kinds == order)
             rows = rows[np.argsort(parts[rows])]
             where, starts, inverse = _grouped(keys[order])
             end[order] = at[order][where[starts]]
             count[order] = np.concatenate([np.zeros(0, np.int64), *(_unpacked(table["a"][int(r)].as_py(), np.int64) for r in rows)])
-            mine[order] = np.concatenate([np.zeros(0, np.uint8), *(_unpacked(table["b"][int(r)].as_py(), np.uint8) for r in rows)]).astype(bool)
+            flags[order] = np.concatenate([np.zeros(0, np.uint8), *(_unpacked(table["b"][int(r)].as_py(), np.uint8) for r in rows)])
             if order < 3:
                 number[order] = np.zeros(len(tokens), np.int64)
                 number[order][at[order]] = inverse
@@ -319,8 +320,11 @@ def _read(texts: DataFrame, told: DataFrame, off: dict[int, float], denominator:
         out = [dict(kind=np.zeros(n), _at=np.arange(n), x=np.bincount(row, weights=base[number[1]], minlength=n), y=score, n=known)]
         followed, times = np.unique((rows << _WORD_BITS) | states, return_counts=True)
         out.append(dict(kind=np.ones(len(followed)), _at=followed >> _WORD_BITS, key=names[(followed & ((1 << _WORD_BITS) - 1)) - 1].view(np.int64), n=times))
+        asked = np.concatenate([[0], flags[1], flags[2]]) < 2
+        asked[states] = True
         for order in (2, 3):
-            own = mine[order] & (count[order] > 0)
+            own = np.flatnonzero((flags[order] & 1 == 1) & (count[order] > 0))
+            own = own[asked[state[order - 1](end[order][own] - 1)]]
             place = end[order][own]
             source = state[order - 1](place - 1)
             shorter = count[order - 1][number[order - 1][place]]
@@ -357,7 +361,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = written(_read(texts, told, off, denominator, bits), "lm-scores")
 
     fails = found.where("kind = 1").select("block", "_at", "key", F.col("n").cast("int").alias("n"))
-    arcs = marked(found.where("kind = 2").select("key", "n", "u", "l", "c", "s"), bitmap_of(fails, F.col("key")), F.col("key"), "_m").where("_m")
+    arcs = marked(found.where("kind = 2").select("key", "n", "u", "l", "c", "s"), bitmap_of(fails, F.xxhash64("key")), F.xxhash64("key"), "_m").where("_m")
     arcs = arcs.groupBy("key").agg(*(F.sum(c).alias(f"_{c}") for c in "nul"), *(F.max(c).alias(c) for c in "cs"))
     long = F.col("s") > 0
     used = (F.col("_u") - F.when(long, off[3]).otherwise(off[2]) * F.col("_n")) / F.col("c")
