@@ -8,7 +8,7 @@ The model holds every n-gram of the training texts, whatever the size of the cor
 blocks of tokens.  A block asks for the counts of its distinct n-grams; requests are dealt by ranges of n-gram hashes, in number with the bytes of
 the texts, so a key reaches its range at most once a block, however frequent it is.  The answers meet the block again: they are the states and arcs
 that its texts can reach, and the texts are read through them.  Of every n-gram one block is the owner; it adds the n-gram to the sums of its
-history, from which the weights of the failure arcs follow.  Those are joined to the failures that the traversal met.
+history, from which the weights of the failure arcs follow.  Histories go to ranges of hashes as n-grams do, and back to the blocks that failed.
 """
 
 from __future__ import annotations
@@ -24,13 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.common import map_batches, written
-from faultline.llm.marks import bitmap_of, marked
 from faultline.llm.words import Block, blocks, mix
 
 #: What is taken off every n-gram's count lies between these; within them it is estimated from how many n-grams occur once and twice.
 DISCOUNTS = 0.5, 0.95
 #: Tokens that a task looks up together.
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 750_000
 #: Bytes of texts for each range of n-gram hashes.
 RANGE_BYTES = 8 << 20
 #: Longer rows are read in stretches of so many tokens side by side.
@@ -263,12 +262,14 @@ class Automaton:
         return np.bincount(row, weights=score, minlength=len(counts)), rows, states
 
 
-def _read(texts: DataFrame, told: DataFrame, off: dict[int, float], denominator: float, bits: int) -> DataFrame:
+def _read(texts: DataFrame, told: DataFrame, off: dict[int, float], denominator: float, bits: int, ranges: int) -> DataFrame:
     """What blocks read, by kind.
 
-    0: per row of a block ``x``, ``y`` (base score, score without failure arcs) and ``n`` known words.  1: per row and state whose failure arc it
-    follows, ``n`` times.  2: per state, of the n-grams that the block owns, unless it alone has the state and doesn't fail from it: ``n`` arcs, ``u`` the sum of their counts, ``l`` of the counts of
-    what they are without the first word; ``c``, ``s`` are the counts of the state and of its shorter suffix (0: none).
+    0: per row of a block ``x``, ``y`` (base score, score without failure arcs) and ``n`` known words.  1: per block, ``a`` the rows that follow a
+    failure arc, ``b`` the number of its state among those that the block fails from, by key, and ``c`` how often; ``d``, ``e`` are the counts of those
+    states and of their shorter suffixes (0: none).  2: per block and range of hashes, ``a`` the keys of states; of the n-grams that the block
+    owns ``b`` how many extend the state, ``c`` the sum of their counts, ``d`` of the counts of what they are without the first word; ``e``
+    whether the block fails from the state.  States that it alone has and doesn't fail from are left out.
     """
 
     def read(table: pa.Table) -> pa.Table:
@@ -317,31 +318,96 @@ def _read(texts: DataFrame, told: DataFrame, off: dict[int, float], denominator:
 
         row = np.repeat(np.arange(n), np.diff(first))
         known = np.bincount(row, weights=count[1][number[1]] > 0, minlength=n)
-        out = [dict(kind=np.zeros(n), _at=np.arange(n), x=np.bincount(row, weights=base[number[1]], minlength=n), y=score, n=known)]
-        followed, times = np.unique((rows << _WORD_BITS) | states, return_counts=True)
-        out.append(dict(kind=np.ones(len(followed)), _at=followed >> _WORD_BITS, key=names[(followed & ((1 << _WORD_BITS) - 1)) - 1].view(np.int64), n=times))
-        asked = np.concatenate([[0], flags[1], flags[2]]) < 2
-        asked[states] = True
+        out = [dict(_at=np.arange(n), x=np.bincount(row, weights=base[number[1]], minlength=n), y=score, n=known, kind=np.zeros(n))]
+        del row, score, known
+
+        # The arcs that the block owns, summed by the state that they leave.
+        sums = np.zeros((3, len(size)), np.int64)
         for order in (2, 3):
             own = np.flatnonzero((flags[order] & 1 == 1) & (count[order] > 0))
-            own = own[asked[state[order - 1](end[order][own] - 1)]]
             place = end[order][own]
             source = state[order - 1](place - 1)
             shorter = count[order - 1][number[order - 1][place]]
-            sort, starts, _ = _grouped(source)
-            sums = [np.add.reduceat(c[sort], starts) if len(starts) else np.zeros(0) for c in (count[order][own], shorter)]
-            source = source[sort[starts]]
-            out.append(dict(kind=np.full(len(starts), 2), key=names[source - 1].view(np.int64), n=np.diff(np.append(starts, len(sort))), u=sums[0], l=sums[1], c=size[source], s=np.where(fail[source] > 0, size[fail[source]], 0)))
-        types = dict(kind=np.int32, _at=np.int32, key=np.int64, x=np.float64, y=np.float64, n=np.int64, u=np.int64, l=np.int64, c=np.int64, s=np.int64)
-        columns = {name: pa.array(np.concatenate([np.asarray(o.get(name, np.zeros(len(o["n"])))).astype(t) for o in out])) for name, t in types.items()}
-        return pa.table({"block": pa.array(np.full(len(columns["n"]), block)), **columns})
+            for i, weights in enumerate((None, count[order][own], shorter)):
+                sums[i] += np.bincount(source, weights=weights, minlength=len(size)).astype(np.int64)
+        failed = np.zeros(len(size), bool)
+        failed[states] = True
+        alone = np.concatenate([[2], flags[1], flags[2]]) > 1
+        sent = np.flatnonzero(failed | ((sums[0] > 0) & ~alone))
+        sent = sent[np.argsort(names[sent - 1])]
+        found, asks = names[sent - 1], failed[sent]
+        cuts = _cuts(found, ranges)
+        some = [p for p in range(ranges) if cuts[p] < cuts[p + 1]]
+        blobs = [[_packed(found[x], True), *(_packed(sums[i][sent[x]]) for i in range(3)), _packed(asks[x].astype(np.uint8))] for x in (slice(cuts[p], cuts[p + 1]) for p in some)]
+        kinds = [2] * len(some)
+        if len(states):
+            followed, times = np.unique((rows << _WORD_BITS) | states, return_counts=True)
+            sent = sent[asks]
+            place = np.zeros(len(size), np.int32)
+            place[sent] = np.arange(len(sent), dtype=np.int32)
+            blobs.append([_packed((followed >> _WORD_BITS).astype(np.int32), True), _packed(place[followed & ((1 << _WORD_BITS) - 1)]), _packed(times.astype(np.int32)), _packed(size[sent]), _packed(np.where(fail[sent] > 0, size[fail[sent]], 0))])
+            kinds.append(1)
+            some.append(0)
+        types = dict(kind=pa.int32(), part=pa.int32(), _at=pa.int32(), x=pa.float64(), y=pa.float64(), n=pa.int64(), **dict.fromkeys("abcde", pa.binary()))
+        made = dict(kind=np.concatenate([np.zeros(n), kinds]), part=np.concatenate([np.zeros(n), some]))
+        made |= {c: np.concatenate([out[0][c], np.zeros(len(some))]) for c in ("_at", "x", "y", "n")}
+        made |= {c: [None] * n + [blob[i] for blob in blobs] for i, c in enumerate("abcde")}
+        columns = {c: pa.array(made[c], t) if c in "abcde" else pa.array(made[c].astype(t.to_pandas_dtype())) for c, t in types.items()}
+        return pa.table({"block": pa.array(np.full(n + len(some), block)), **columns})
 
     payload = texts.select(F.lit(0).alias("kind"), "block", F.lit(0).alias("part"), "a", "b", "c")
     answers = told.select("kind", "block", "part", "a", "b", F.lit(None).cast("binary").alias("c"))
-    schema = "block bigint, kind int, _at int, key bigint, x double, y double, n bigint, u bigint, l bigint, c bigint, s bigint"
+    schema = "block bigint, kind int, part int, _at int, x double, y double, n bigint, a binary, b binary, c binary, d binary, e binary"
     return payload.unionByName(answers).groupBy("block").applyInArrow(read, schema)
 
 
+def _extended(found: DataFrame) -> DataFrame:
+    """Per block and range of hashes, for the states that the block fails from: ``a``, ``b``, ``c`` as in kind 2 of :func:`_read`, over all blocks."""
+
+    def answer(table: pa.Table) -> pa.Table:
+        def column(name, dtype, ascending=False):
+            return [_unpacked(x.as_py(), dtype, ascending) for x in table[name]]
+
+        asks = column("e", np.uint8)
+        sizes = np.cumsum([0, *map(len, asks)])
+        order, starts, inverse = _grouped(np.concatenate(column("a", np.uint64, True)))
+        asked = np.concatenate(asks) > 0
+        before = np.concatenate([[0], np.cumsum(asked)])[sizes]
+        rows = np.flatnonzero(np.diff(before))
+        out = {"block": table["block"].take(rows), "part": table["part"].take(rows)}
+        for name, values in zip("abc", "bcd"):
+            total = np.add.reduceat(np.concatenate(column(values, np.int64))[order], starts)[inverse[asked]]
+            out[name] = pa.array([_packed(total[before[i] : before[i + 1]]) for i in rows], pa.binary())
+        return pa.table(out)
+
+    states = found.where("kind = 2").select("block", "part", "a", "b", "c", "d", "e")
+    return states.groupBy("part").applyInArrow(answer, "block bigint, part int, a binary, b binary, c binary")
+
+
+def _failures(found: DataFrame, extended: DataFrame, off: dict[int, float], denominator: float) -> DataFrame:
+    """Per row of a block that follows failure arcs: ``_back``, the sum of their log10 weights."""
+
+    def weigh(table: pa.Table) -> pa.Table:
+        kinds, parts = table["kind"].to_numpy(), table["part"].to_numpy()
+        answers = np.flatnonzero(kinds == 2)
+        answers = answers[np.argsort(parts[answers])]
+        n, u, l = (np.concatenate([_unpacked(table[c][int(i)].as_py(), np.int64) for i in answers]) for c in "abc")
+        own = int(np.flatnonzero(kinds == 1)[0])
+        rows, state, times = (_unpacked(table[c][own].as_py(), np.int32, c == "a") for c in "abc")
+        count, shorter = (_unpacked(table[c][own].as_py(), np.int64) for c in "de")
+        pair = shorter > 0
+        used = (u - np.where(pair, off[3], off[2]) * n) / count
+        below = np.where(pair, (l - off[2] * n) / np.maximum(shorter, 1), (l + 0.5 * n) / denominator)
+        weight = np.log10(np.maximum(1 - used, 1e-12) / np.maximum(1 - below, 1e-12))
+        at, place = np.unique(rows, return_inverse=True)
+        return pa.table({"block": table["block"].take(np.zeros(len(at), np.int64)), "_at": pa.array(at), "_back": pa.array(np.bincount(place, weights=weight[state] * times))})
+
+    none = F.lit(None).cast("binary")
+    rows = found.where("kind = 1").select("block", "kind", "part", "a", "b", "c", "d", "e")
+    answers = extended.select("block", F.lit(2).alias("kind"), "part", "a", "b", "c", none.alias("d"), none.alias("e"))
+    return rows.unionByName(answers).groupBy("block").applyInArrow(weigh, "block bigint, _at int, _back double")
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK_TOKENS) -> DataFrame:
     """Per document: ``id_col``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
@@ -353,23 +419,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = written(_blocks(docs, id_col, text_col, block), "lm-blocks")
     texts = held.where("_at IS NULL").select("block", "a", "b", "c", "d")
     bits = key_bits(size)
-    told = written(_told(_asked(texts, 1 + size // RANGE_BYTES, bits)), "lm-counts")
+    parts = 1 + size // RANGE_BYTES
+    told = written(_told(_asked(texts, parts, bits)), "lm-counts")
     sums = {r["kind"]: r for r in told.groupBy("kind").agg(*(F.sum(c).alias(c) for c in ("tokens", "types", "once", "twice"))).collect()}
     total, vocabulary = (sums[1]["tokens"], sums[1]["types"]) if sums else (0, 0)
     off = {n: discount(sums[n]["once"], sums[n]["twice"]) if n in sums else DISCOUNTS[0] for n in (2, 3)}
     denominator = float(total + 0.5 * (vocabulary + 1))
-    found = written(_read(texts, told, off, denominator, bits), "lm-scores")
-
-    fails = found.where("kind = 1").select("block", "_at", "key", F.col("n").cast("int").alias("n"))
-    arcs = marked(found.where("kind = 2").select("key", "n", "u", "l", "c", "s"), bitmap_of(fails, F.xxhash64("key")), F.xxhash64("key"), "_m").where("_m")
-    arcs = arcs.groupBy("key").agg(*(F.sum(c).alias(f"_{c}") for c in "nul"), *(F.max(c).alias(c) for c in "cs"))
-    long = F.col("s") > 0
-    used = (F.col("_u") - F.when(long, off[3]).otherwise(off[2]) * F.col("_n")) / F.col("c")
-    below = F.when(long, (F.col("_l") - off[2] * F.col("_n")) / F.col("s")).otherwise((F.col("_l") + 0.5 * F.col("_n")) / denominator)
-    weights = arcs.select("key", F.log10(F.greatest(1 - used, F.lit(1e-12)) / F.greatest(1 - below, F.lit(1e-12))).alias("_weight"))
-    # Joined by a second expression of the key too: both sides are exchanged, and adaptive execution can split a frequent history.
-    met = fails.withColumn("_again", F.xxhash64("key")).join(weights.withColumn("_again", F.xxhash64("key")), ["key", "_again"])
-    back = met.groupBy("block", "_at").agg(F.sum(F.col("_weight") * F.col("n")).alias("_back"))
+    found = written(_read(texts, told, off, denominator, bits, parts), "lm-scores")
+    back = _failures(found, _extended(found), off, denominator)
     read = found.where("kind = 0").select("block", "_at", "x", "y", F.col("n").alias("n_known"))
     out = held.where("_at IS NOT NULL").select("_id", "held_out", F.col("_at").cast("int").alias("_at"), "n_tokens", "block").join(read, ["block", "_at"]).join(back, ["block", "_at"], "left")
     return out.select(F.col("_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), F.col("x").alias("base_score"), (F.col("y") + F.coalesce("_back", F.lit(0.0))).alias("score"))
