@@ -117,8 +117,8 @@ def op10(spark, sf_dir):
            CASE WHEN payload_bytes >= 1000 AND page_id <> keep THEN keep END AS refers_to FROM p LEFT JOIN k USING (payload_digest)""")
 def op5(spark, sf_dir):
     folder = shared_folder(spark, "warc")
-    warc.write_bundles(warc.records(table(spark, sf_dir, "pages")), folder)
-    out = warc.read_bundles(spark, folder)
+    index = warc.write_bundles(warc.records(table(spark, sf_dir, "pages")), folder)
+    out = warc.read_bundles(index, folder)
     return out.select(F.col("record_id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
 
 

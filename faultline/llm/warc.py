@@ -20,7 +20,7 @@ import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.common import map_batches, written
@@ -130,13 +130,14 @@ def write_bundles(rows: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES,
     """Write records (from :func:`records`) to bundles in ``folder``; the index of all records, written itself.
 
     ``folder`` is a URI of a store that all executors share.  A frame holds about ``frame_bytes``, a bundle about ``bundle_bytes`` compressed; a
-    longer record has a frame, or a bundle, of its own.
+    longer record has a frame, or a bundle, of its own.  Every attempt of a task names its bundles anew; the index names those that count.
     """
     files, path = fs.FileSystem.from_uri(folder)
     files.create_dir(path, recursive=True)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, writer, index, open_ = TaskContext.get().partitionId(), 0, None, [], []
+        attempt = uuid.uuid4().hex[:16]
 
         def end_frame():
             at, size = writer.end_frame()
@@ -155,7 +156,7 @@ def write_bundles(rows: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES,
                 id_, url, body, n, digest, refers, revisit = (batch.column(c)[i].as_py() for c in range(7))
                 record = warc_record("" if id_ is None else id_, url, None if revisit else body.encode(), n, digest, "" if refers is None else refers)
                 if writer is None:
-                    name = f"bundle-{part:06d}-{number:05d}.warc.zst"
+                    name = f"bundle-{part:06d}-{number:05d}-{attempt}.warc.zst"
                     writer, number = BundleWriter(folder, name), number + 1
                 frame, offset = writer.add(record)
                 open_.append((id_, "revisit" if revisit else "response", name, frame, offset, len(record)))
@@ -203,25 +204,29 @@ def _record_batch(found: list[tuple], with_payload: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 7, kinds)], [x.split()[0] for x in RECORD.split(", ")])
 
 
-def read_bundles(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFrame:
-    """All records of the bundles in ``folder``, frame by frame."""
+#: Bundles that a task reads, about.
+TASK_BUNDLES = 4
+
+
+def read_bundles(index: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
+    """All records of the bundles in ``folder`` that ``index`` names, frame by frame.
+
+    Bundles that it doesn't name were left by tasks that failed or ran twice.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for path, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                files, place = fs.FileSystem.from_uri(path)
+            for name in batch.column(0).to_pylist():
+                files, place = fs.FileSystem.from_uri(f"{folder}/{name}")
                 with files.open_input_file(place) as stream:
-                    for at, packed in seek_table(stream, size):
+                    for at, packed in seek_table(stream, stream.size()):
                         stream.seek(at)
                         data = unpack.decompress(stream.read(packed))
                         yield _record_batch([(h, p) for _, _, h, p in parse_records(data)], with_payload)
 
-    files, path = fs.FileSystem.from_uri(folder)
-    if not files.get_file_info(fs.FileSelector(path, allow_not_found=True)):
-        return spark.createDataFrame([], RECORD)
-    bundles = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path", "length")
-    return map_batches(bundles, scan, RECORD)
+    names = index.select("bundle").distinct()
+    return map_batches(names.repartition(1 + names.count() // TASK_BUNDLES, "bundle"), scan, RECORD)
 
 
 def fetch_records(wanted: DataFrame, folder: str) -> DataFrame:

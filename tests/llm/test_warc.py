@@ -27,7 +27,7 @@ def stored(spark, pages, **sizes):
 
 def test_round_trip(spark):
     folder, index = stored(spark, table(spark), frame_bytes=2_000, bundle_bytes=3_000)
-    got = warc.read_bundles(spark, folder, with_payload=True).collect()
+    got = warc.read_bundles(index, folder, with_payload=True).collect()
     groups = defaultdict(list)
     for i, _, html in ROWS:
         groups[html or ""].append(i)
@@ -57,13 +57,21 @@ def test_bundles_are_plain_zstandard(spark):
         seen += sum(1 for _ in warc.parse_records(data))
     assert seen == len(ROWS)
     empty, index = stored(spark, table(spark).where("false"))
-    assert warc.read_bundles(spark, empty).collect() == [] and index.collect() == []
+    assert warc.read_bundles(index, empty).collect() == [] and index.collect() == []
+
+
+def test_bundles_of_other_attempts_are_not_read(spark):
+    folder, index = stored(spark, table(spark))
+    files, path = warc.fs.FileSystem.from_uri(folder)
+    for r in index.select("bundle").distinct().collect():
+        files.copy_file(f"{path}/{r['bundle']}", f"{path}/bundle-000000-00009-00aa.warc.zst")
+    assert warc.read_bundles(index, folder).count() == len(ROWS)
 
 
 def test_given_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
-    folder, _ = stored(spark, pages)
-    got = {r["record_id"]: r["payload"] for r in warc.read_bundles(spark, folder, with_payload=True).collect()}
+    folder, index = stored(spark, pages)
+    got = {r["record_id"]: r["payload"] for r in warc.read_bundles(index, folder, with_payload=True).collect()}
     for r in pq.read_table("/root/testdata/sf0.001/pages.parquet").to_pylist():
         if got[str(r["page_id"])] is not None:
             assert bytes(got[str(r["page_id"])]).decode() == r["html"]
