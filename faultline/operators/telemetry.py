@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from faultline.functions.text import as_col
 from faultline.operators import segmented as seg
 from faultline.rules import vocab
+from faultline.session import materialized
 
 HOUR = 3_600_000_000
 BASELINE_HOURS = 168
@@ -70,9 +71,7 @@ def regressions(changes: DataFrame, events: DataFrame, spike_threshold: float =
 
     ``changes`` is ``(change_id, ticket_id, merged_at, error_category, app, chipset)`` with
     nullable app and chipset; ``events`` carries the same dimensions.  Events and changes are
-    never joined row by row: each change puts one mark per hour boundary into the
-    time-ordered events of its dimension values, and a running count read at the marks gives
-    every window.
+    never joined row by row, and no row is made per change and hour: see ``_first_spikes``.
     """
     dims = ["error_category", "app", "chipset"]
     any_value = F.lit(None).cast("string")
@@ -83,31 +82,29 @@ def regressions(changes: DataFrame, events: DataFrame, spike_threshold: float =
     grouped = grouped.select("error_category", "us", "c", F.explode(F.array_distinct(variants)).alias("v"))
     star = F.lit("*")
     keys = ["error_category", "app", "chipset"]
-    marks_from = changes.select(
+    counts = changes.groupBy("change_id").agg(F.count("*").alias("_n")).where("_n > 1").select("change_id", F.lit(True).alias("_again"))
+    marks = changes.where("error_category IS NOT NULL AND merged_at IS NOT NULL").join(counts, "change_id", "left").select(
         "change_id", "error_category", F.coalesce("app", star).alias("app"), F.coalesce("chipset", star).alias("chipset"),
-        F.unix_micros("merged_at").alias("merged"))
-    wanted = marks_from.select(*keys).distinct()
+        F.unix_micros("merged_at").alias("us"), F.col("_again").isNotNull().alias("again"))
+    asked = marks.groupBy(*keys, "us").agg(F.bool_or("again").alias("whole"))
     points = grouped.select("error_category", F.coalesce("v.app", star).alias("app"),
                             F.coalesce("v.chipset", star).alias("chipset"), "us", "c")
-    points = points.join(wanted, keys, "left_semi").groupBy(*keys, "us").agg(F.sum("c").alias("c"))
-    hours = F.concat(F.array(F.lit(-baseline_hours)), F.sequence(F.lit(0), F.lit(watch_hours)))
-    marks = marks_from.select(*keys, "change_id", "merged", F.explode(hours).alias("h"))
-    marks = marks.select(*keys, (F.col("merged") + F.col("h") * HOUR).alias("us"), F.lit(0).alias("kind"),
-                         F.lit(0).cast("bigint").alias("c"), "change_id", "h")
-    points = points.select(*keys, "us", F.lit(1).alias("kind"), "c", F.lit(None).cast(changes.schema["change_id"].dataType)
-                           .alias("change_id"), F.lit(None).cast("int").alias("h"))
-    run = seg.running_sum(marks.unionByName(points), keys, ["us", "kind"], F.col("c"), "seen",
-                          F.floor(F.col("us") / HOUR).cast("bigint")).where("kind = 0")
-    per = run.groupBy("change_id").agg(
-        F.max(F.when(F.col("h") == -baseline_hours, F.col("seen"))).alias("start"),
-        F.array_sort(F.collect_list(F.when(F.col("h") >= 0, F.struct("h", "seen")))).alias("seen"))
+    wanted = marks.select(*keys).distinct()
+    points = points.join(wanted, keys, "left_semi").where("us IS NOT NULL").groupBy(*keys, "us").agg(F.sum("c").alias("c"))
+    found = marks.join(_first_spikes(points, asked, keys, spike_threshold, watch_hours, baseline_hours), [*keys, "us"])
+    once = found.where("NOT again AND hour IS NOT NULL").select(
+        "change_id", "baseline_rate", F.col("hour").alias("hours_after_merge"), F.col("rate").alias("current_rate"))
+    # Rows that share an id are one change: its counts are those of all of them, in order.
+    per = found.where("again").select("change_id", "start", F.explode("seen").alias("s")).groupBy("change_id").agg(
+        F.max("start").alias("start"), F.array_sort(F.collect_list("s")).alias("seen"))
     baseline = (F.get("seen", F.lit(0))["seen"] - F.col("start")) / baseline_hours
     per = per.withColumn("baseline_rate", baseline).where("baseline_rate > 0")
     rates = F.transform(F.sequence(F.lit(1), F.lit(watch_hours)), lambda h: F.struct(
         h.alias("hour"), (F.get("seen", h)["seen"] - F.get("seen", h - 1)["seen"]).cast("double").alias("rate")))
     first = F.get(F.filter(rates, lambda r: F.try_divide(r["rate"], F.col("baseline_rate")) >= spike_threshold), F.lit(0))
-    alerts = per.withColumn("a", first).where("a IS NOT NULL").select(
+    again = per.withColumn("a", first).where("a IS NOT NULL").select(
         "change_id", "baseline_rate", F.col("a.hour").alias("hours_after_merge"), F.col("a.rate").alias("current_rate"))
+    alerts = once.unionByName(again)
     alerts = changes.join(alerts, "change_id").withColumn(
         "spike_factor", F.try_divide("current_rate", "baseline_rate"))
     by_app = F.col("app").isNotNull()
@@ -115,7 +112,71 @@ def regressions(changes: DataFrame, events: DataFrame, spike_threshold: float =
         "dimension": F.when(by_app, "app").otherwise("error_category"),
         "value": F.when(by_app, F.col("app")).otherwise(F.col("error_category")),
         "revert_recommended": F.col("spike_factor") >= revert_threshold})
-    return _with_users(alerts, events)
+    return _with_users(materialized(alerts, "alerts"), events)
+
+
+PART_ROWS = 50_000
+
+
+def _first_spikes(points: DataFrame, asked: DataFrame, keys, threshold: float, watch_hours: int, baseline_hours: int) -> DataFrame:
+    """For each asked ``(keys, us)``, the baseline rate and the first hour behind it whose rate is ``threshold`` times as high.
+
+    All hour boundaries of one moment lie at the same phase of the hour, so the hour is cut into parts, more where a key has more rows.  A
+    task gets one part of one key: its points and moments, and per hour how many points of the key came before the part.  The count
+    before any boundary follows from these; no row per boundary leaves the task.  Where ``whole`` is set the counts themselves are returned.
+    """
+    rows = points.select(*keys).unionByName(asked.select(*keys)).groupBy(*keys).agg(F.count("*").alias("rows"))
+    parts = F.least(F.lit(3600), F.ceil(F.col("rows") / PART_ROWS)).cast("bigint")
+    sizes = rows.select(*keys, parts.alias("parts"))
+
+    def in_parts(df):
+        phase = F.pmod("us", F.lit(HOUR))
+        return df.join(sizes, keys).withColumns({"slot": F.col("us") - phase, "part": F.floor(phase * F.col("parts") / HOUR).cast("bigint")})
+
+    points, asked = in_parts(points), in_parts(asked)
+    counts = points.groupBy(*keys, "slot", "part").agg(F.sum("c").alias("c"))
+    # Hours with points and those behind them, which tell that nothing follows.
+    hours = points.select(*keys, "parts", "slot").distinct()
+    hours = hours.select(*keys, "parts", F.explode(F.array(F.col("slot"), F.col("slot") + HOUR)).alias("slot")).distinct()
+    cells = hours.select(*keys, "parts", "slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    cells = cells.join(counts, [*keys, "slot", "part"], "left").withColumn("c", F.coalesce("c", F.lit(0).cast("bigint")))
+    before = seg.running_sum(cells, keys, ["slot", "part"], F.col("c"), "seen", F.col("slot")).select(
+        *keys, "part", F.lit(True).alias("sum"),
+        (F.col("slot") + F.ceil(F.col("part") * HOUR / F.col("parts")).cast("bigint")).alias("us"), (F.col("seen") - F.col("c")).alias("c"))
+    given = points.select(*keys, "part", F.lit(False).alias("sum"), "us", "c").unionByName(before)
+
+    def spikes(given, asked):
+        import numpy as np
+        import pandas as pd
+
+        sums, events = given[given["sum"]].sort_values("us"), given[~given["sum"]].sort_values("us")
+        times, total = events["us"].to_numpy(), np.concatenate([[0], np.cumsum(events["c"].to_numpy())]).astype("int64")
+        starts = sums["us"].to_numpy()
+        base = np.concatenate([[0], sums["c"].to_numpy() - total[np.searchsorted(times, starts)]]).astype("int64")
+
+        def seen(us):
+            return base[np.searchsorted(starts, us, side="right")] + total[np.searchsorted(times, us)]
+
+        asked = asked.sort_values("us", ignore_index=True)
+        us = asked["us"].to_numpy()
+        start, last = seen(us - baseline_hours * HOUR), seen(us)
+        baseline = (last - start) / baseline_hours
+        hour, rate = np.zeros(len(us), "int32"), np.zeros(len(us))
+        still = np.flatnonzero(baseline > 0)
+        last = last[still]
+        for h in range(1, watch_hours + 1):
+            now = seen(us[still] + h * HOUR)
+            high = (now - last) / baseline[still] >= threshold
+            hour[still[high]], rate[still[high]] = h, (now - last)[high]
+            still, last = still[~high], now[~high]
+        whole = [[{"h": h, "seen": int(seen(np.array([t + h * HOUR]))[0])} for h in range(watch_hours + 1)] if w else None
+                 for t, w in zip(us, asked["whole"], strict=True)]
+        out = asked[[*keys, "us"]].assign(start=start, baseline_rate=baseline, rate=rate, seen=whole)
+        return out.assign(hour=pd.array(hour, "Int32")).assign(hour=lambda d: d["hour"].mask(hour == 0))
+
+    types = ", ".join(f"{k} string" for k in keys)
+    schema = f"{types}, us long, start long, baseline_rate double, rate double, seen array<struct<h: int, seen: long>>, hour int"
+    return given.groupBy(*keys, "part").cogroup(asked.select(*keys, "part", "us", "whole").groupBy(*keys, "part")).applyInPandas(spikes, schema)
 
 
 def _with_users(alerts: DataFrame, events: DataFrame) -> DataFrame:
@@ -129,7 +190,9 @@ def _with_users(alerts: DataFrame, events: DataFrame) -> DataFrame:
     asked = alerts.select("change_id", "dimension", "value", start.cast("bigint").alias("us"))
     cells = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in ("app", "error_category")])
     seen = events.select(F.unix_micros("ts").alias("us"), "user_id", F.explode(cells).alias("d")).select("us", "user_id", "d.*")
-    seen = seen.where(F.col("user_id").isNotNull()).join(asked.select("dimension", "value").distinct(), ["dimension", "value"], "left_semi").distinct()
+    seen = seen.where(F.col("user_id").isNotNull()).join(asked.select("dimension", "value").distinct(), ["dimension", "value"], "left_semi")
+    # Deduplicated where the window needs the rows anyway.
+    seen = seen.repartition("dimension", "value", "user_id").distinct()
     before = F.lag("us").over(Window.partitionBy("dimension", "value", "user_id").orderBy("us"))
     seen = seen.withColumn("_from", F.greatest(F.col("us") - HOUR, before))
     steps = seen.select("dimension", "value", F.explode(F.array(
