@@ -95,8 +95,8 @@ def regressions(changes: DataFrame, events: DataFrame, spike_threshold: float =
     once = found.where("NOT again AND hour IS NOT NULL").select(
         "change_id", "baseline_rate", F.col("hour").alias("hours_after_merge"), F.col("rate").alias("current_rate"))
     # Rows that share an id are one change: its counts are those of all of them, in order.
-    per = found.where("again").select("change_id", "start", F.explode("seen").alias("s")).groupBy("change_id").agg(
-        F.max("start").alias("start"), F.array_sort(F.collect_list("s")).alias("seen"))
+    per = found.where("again").select("change_id", "start", F.posexplode("seen").alias("h", "seen")).groupBy("change_id").agg(
+        F.max("start").alias("start"), F.array_sort(F.collect_list(F.struct("h", "seen"))).alias("seen"))
     baseline = (F.get("seen", F.lit(0))["seen"] - F.col("start")) / baseline_hours
     per = per.withColumn("baseline_rate", baseline).where("baseline_rate > 0")
     rates = F.transform(F.sequence(F.lit(1), F.lit(watch_hours)), lambda h: F.struct(
@@ -169,13 +169,12 @@ def _first_spikes(points: DataFrame, asked: DataFrame, keys, threshold: float, w
             high = (now - last) / baseline[still] >= threshold
             hour[still[high]], rate[still[high]] = h, (now - last)[high]
             still, last = still[~high], now[~high]
-        whole = [[{"h": h, "seen": int(seen(np.array([t + h * HOUR]))[0])} for h in range(watch_hours + 1)] if w else None
-                 for t, w in zip(us, asked["whole"], strict=True)]
+        whole = pd.Series([seen(t + np.arange(watch_hours + 1) * HOUR) if w else None for t, w in zip(us, asked["whole"], strict=True)], dtype=object)
         out = asked[[*keys, "us"]].assign(start=start, baseline_rate=baseline, rate=rate, seen=whole)
         return out.assign(hour=pd.array(hour, "Int32")).assign(hour=lambda d: d["hour"].mask(hour == 0))
 
     types = ", ".join(f"{k} string" for k in keys)
-    schema = f"{types}, us long, start long, baseline_rate double, rate double, seen array<struct<h: int, seen: long>>, hour int"
+    schema = f"{types}, us long, start long, baseline_rate double, rate double, seen array<long>, hour int"
     return given.groupBy(*keys, "part").cogroup(asked.select(*keys, "part", "us", "whole").groupBy(*keys, "part")).applyInPandas(spikes, schema)
 
 
