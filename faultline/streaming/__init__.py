@@ -19,6 +19,7 @@ from faultline.operators.matching import match_patterns
 from faultline.operators.telemetry import by_dimension
 from faultline.operators.templates import template_key
 from faultline.rules.patterns import ROUTER_PATTERNS
+from faultline.session import materialized
 
 WATERMARK = "10 minutes"
 
@@ -54,7 +55,9 @@ def anomalies(lines: DataFrame, baseline: DataFrame, multiplier: float = 3.0, bu
     rows = compute_once(lines.where(F.col(ts).isNotNull()).select(*keys, ts, line), {"tokens": upper_tokens(line)})
     rows = rows.withWatermark(ts, watermark).select(*keys, ts, F.explode("tokens").alias("token"))
     counts = rows.groupBy(*keys, "token", F.window(ts, f"{bucket_s} seconds").alias("w")).agg(F.count("*").alias("count"))
-    out = counts.join(baseline.select(*keys, "token", "baseline_avg"), [*keys, "token"])
+    # Computed once and not in every batch; it may be as large as the logs, so it is never broadcast.
+    baseline = materialized(baseline.select(*keys, "token", "baseline_avg"), "baseline").hint("merge")
+    out = counts.join(baseline, [*keys, "token"])
     factor = F.try_divide("count", "baseline_avg")
     return out.where(factor >= multiplier).select(
         *keys, "token", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "count",
