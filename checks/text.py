@@ -10,6 +10,7 @@ from checks.logview import LINES_SQL, event_lines
 from checks.temporal import rounded
 from faultline.operators import compress, dedup, templates, vectors
 from faultline.rules import formats, vocab
+from faultline.session import materialized
 
 KEY_SQL = f"""array_to_string(list_transform(list_filter(regexp_split_to_array({MASK_SQL}, '\\s+'), lambda t: t <> ''),
   lambda t: CASE WHEN regexp_full_match(t, '\\d+') THEN '<N>' ELSE t END), ' ')"""
@@ -159,6 +160,11 @@ def signatures(spark, sf):
     return docs.select(F.col("doc_id").alias("id"), dedup.minhash(dedup.normalized_text("text")).alias("signature"))
 
 
+def kept_signatures(spark, sf):
+    """Signatures computed once, where they are read more than once."""
+    return materialized(signatures(spark, sf), "signatures")
+
+
 @check("h1_minhash", f"""WITH {SIG_SQL} SELECT doc_id, md5(string_agg(lpad(lower(to_hex(h)), 16, '0'), ',' ORDER BY i)) AS signature FROM sg GROUP BY doc_id
   UNION ALL SELECT doc_id, CASE WHEN t = '' THEN md5(repeat('0000000000000000,', 127) || '0000000000000000') END FROM norm WHERE t IS NULL OR t = ''""")
 def h1(spark, sf):
@@ -176,7 +182,7 @@ _BAND = "CASE " + " ".join(f"WHEN i < {e} THEN {n}" for n, e in enumerate(_EDGES
   round(sum((a.h = b.h)::int) / 128, 6) AS similarity FROM pr JOIN sg a ON pr.id_a = a.doc_id JOIN sg b ON pr.id_b = b.doc_id AND a.i = b.i GROUP BY ALL""")
 def h2(spark, sf):
     # Every text with the first text of each of its bands.
-    sigs = signatures(spark, sf)
+    sigs = kept_signatures(spark, sf)
     bands = sigs.select("id", F.explode(dedup.band_keys("signature", 0.8)).alias("band"))
     pairs = bands.join(bands.groupBy("band").agg(F.min("id").alias("id_a")), "band").where("id_a <> id").select("id_a", F.col("id").alias("id_b")).distinct()
     return rounded(dedup.pair_similarity(pairs, sigs), "similarity")
