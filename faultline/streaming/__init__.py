@@ -22,6 +22,8 @@ from faultline.rules.patterns import ROUTER_PATTERNS
 from faultline.session import materialized
 
 WATERMARK = "10 minutes"
+#: Parts of the users of a slice, so that no row holds all of them.
+USER_PARTS = 8
 
 
 def enrich(lines: DataFrame, profile: str = "engine", line: str = "line", min_level: str | None = None, **options) -> DataFrame:
@@ -81,11 +83,16 @@ def spikes(events: DataFrame, baseline: DataFrame, spike_threshold: float = 2.0,
            monitored: dict[str, list[str]] | None = None, watermark: str = WATERMARK) -> DataFrame:
     """Rate of the trailing hour every five minutes against a static ``(dimension, value, baseline_rate)``.
 
-    Users are counted exactly by two sums over the same windows, first by user: state holds the users of open windows only.
+    Users are counted exactly.  Rows are combined by five minutes and a part of the users first, so only combined slices, and not rows or users,
+    are spread over the twelve hours they belong to; state grows with slices and with the ids they hold.  A row is late once its slice is closed.
     """
     rows = by_dimension(events.withWatermark("ts", watermark), monitored=monitored)
-    by_user = rows.groupBy("dimension", "value", "user_id", F.window("ts", "1 hour", "5 minutes").alias("w")).agg(F.count("*").alias("n"))
-    hourly = by_user.groupBy("dimension", "value", "w").agg(F.sum("n").alias("current_rate"), F.count("user_id").alias("affected_users"))
+    part = F.pmod(F.xxhash64("user_id"), F.lit(USER_PARTS)).alias("part")
+    slices = rows.groupBy("dimension", "value", part, F.window("ts", "5 minutes").alias("s")).agg(
+        F.count("*").alias("n"), F.collect_set("user_id").alias("users"))
+    by_part = slices.groupBy("dimension", "value", "part", F.window(F.window_time("s"), "1 hour", "5 minutes").alias("w")).agg(
+        F.sum("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("users")))).cast("bigint").alias("users"))
+    hourly = by_part.groupBy("dimension", "value", "w").agg(F.sum("n").alias("current_rate"), F.sum("users").alias("affected_users"))
     out = hourly.join(baseline.where("baseline_rate > 0"), ["dimension", "value"])
     factor = F.try_divide("current_rate", "baseline_rate")
     out = out.where((factor >= spike_threshold) & (F.col("affected_users") >= min_users) & (F.col("current_rate") * 24 >= min_errors))
